@@ -174,6 +174,36 @@ class Words:
         return at, mix64(total[at] + U64(n))
 
 
+_LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 and not 0xD800 <= i < 0xE000 else i for i in range(1 << 16)], dtype=np.uint16)
+#: Letters and digits of the basic plane; letters only.
+_ALNUM = np.array([not 0xD800 <= i < 0xE000 and chr(i).isalnum() for i in range(1 << 16)])
+IS_LETTER = np.array([not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(1 << 16)])
+
+
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code points (above the basic plane: 0xFFFF) and offsets in characters."""
+    cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return _LOWER[np.minimum(cp, 0xFFFF)], heads[offsets]
+
+
+def word_bounds(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the first word of each row (with an end mark)."""
+    inside = _ALNUM[cp]
+    if not len(cp):
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(offsets), np.int64)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    heads, tails = offsets[:-1], offsets[1:] - 1
+    heads, tails = heads[heads < len(cp)], tails[tails >= 0]
+    first[heads] = inside[heads]
+    last[tails] = inside[tails]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def stable_hash(seed: int, *cols: Column | str) -> Column:
     """A non-negative 63-bit hash of the columns, the same wherever a row is computed again."""
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 63) - 1))
