@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrace.llm import decontamination, language, mixing, ngram_join, sharding, suffix_dedup, toxicity
+from kinetrace.llm import decontamination, html_extract, language, mixing, ngram_join, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_ngram_join": op8_ngram_join,
