@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrace.llm import decontamination, html_extract, language, mixing, ngram_join, sharding, suffix_dedup, toxicity
+from kinetrace.llm import ann, decontamination, html_extract, language, mixing, ngram_join, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_ngram_join": op8_ngram_join,
     "op9_sharding": op9_sharding,
+    "op10_ann": op10_ann,
 }
 
 ORACLES: dict[str, str] = {
