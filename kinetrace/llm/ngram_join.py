@@ -5,16 +5,18 @@ Under one global order of shingles (rare first), two sets of similarity t share
 first n - ceil(t n) + l shingles of each (their l-prefixes). Each document takes the l from 1 to
 MAX_MATCHES whose prefix costs least: postings met on the way, plus verifications, which grow
 less likely when l shared shingles are asked for. A pair is a candidate when it shares as many
-prefix shingles as the smaller l of the two; candidates are verified on their whole sets.
+prefix shingles as the smaller l of the two, and when the prefix shingles that it doesn't share
+are no more than sets of this similarity and these sizes may differ by. Candidates are verified
+on their whole sets.
 
 The order comes from a count sketch of all shingles: fixed size, merged from all documents, the
-only thing broadcast. Any order gives the same links; a good one gives fewer candidates.
+only table broadcast whole. Any order gives the same links; a good one gives fewer candidates.
 
-Groups of near copies never become all pairs. Each class is first compared with one hub of the
-postings it stands in; found links merge components, and only postings that still hold different
-components go on. What remains is joined across components, never within one, so no link that
-could merge two components is missed. All of these are joins and counts on tables in the shared
-folder; a hot shingle is a skewed join that can be split, not a group gathered in one task.
+Groups of near copies never become all pairs. Each class is first compared with the one hub with
+which it shares most postings; found links merge components, and only postings that still hold
+different components go on. What remains is joined across components, never within one, so no
+link that could merge two components is missed. All of these are joins and counts on tables in
+the shared folder; a hot shingle is a skewed join that can be split, not a group in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.common import U64, Scratch, Words, lower_ascii, mix64, text_chunks
@@ -33,8 +35,12 @@ from kinetrace.llm.components import connected_components
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of at least 4/5
 MAX_MATCHES = 4
-SKETCH_BITS, PIECES = 18, 64
-HUB_PASSES = 4
+SKETCH_BITS, PIECES = 20, 64
+HUB_PASSES = 2
+#: Share of a prefix that a class has in common with its hub when they are compared.
+HUB_SHARE = 0.4
+#: Classes whose texts are looked up by a broadcast of their keys (16 bytes each); more: a shuffle.
+BROADCAST_CLASSES = 500_000
 #: Relative costs of a posting met, of a verification and of an indexed shingle.
 COST_SCAN, COST_VERIFY, COST_TOKEN = 1.0, 20.0, 2.0
 
@@ -99,22 +105,25 @@ def _merge_sketch(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged_sketch(pieces: DataFrame) -> np.ndarray:
-    """Excess of each cell over what a mean cell holds: near 0 but for frequent shingles."""
+    """Occurrences of the shingles of each cell, over all documents."""
     rows = pieces.repartition("piece").mapInArrow(_merge_sketch, "piece int, counts binary").collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     width = (1 << SKETCH_BITS) // PIECES
     for r in rows:
         out[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.uint64)
-    mean = out.mean()
-    return np.maximum(0, out - int(mean + 4 * np.sqrt(mean))).astype(np.uint32)
+    return np.minimum(out, (1 << 23) - 1).astype(np.uint32)
 
 
-def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles in global order (by row), the prefix length and the matches asked of each row."""
-    freq = excess[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles in global order (by row), their order keys, prefix length and matches asked of each row.
+
+    The order is by the cell's count, then by hash; the key packs the count and the hash's high bits.
+    """
+    freq = counts[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((h, freq, row))
     h, freq = h[order], freq[order]
-    met = np.concatenate([[0], np.cumsum(freq)])
+    excess = np.maximum(0, freq - int(counts.mean() + 2 * np.sqrt(counts.mean())))
+    met = np.concatenate([[0], np.cumsum(excess)])
     start = np.cumsum(sizes) - sizes
     need = -(-NUMERATOR * sizes // DENOMINATOR)
     best = np.full(len(sizes), np.inf)
@@ -125,36 +134,42 @@ def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, excess: np.ndarr
         cost = postings * (COST_SCAN + COST_VERIFY / l) + COST_TOKEN * p
         better = (cost < best) & ((need >= l) | (l == 1))
         best, length, matches = np.where(better, cost, best), np.where(better, p, length), np.where(better, l, matches)
-    return h, length, matches
+    key = (freq << 40) | (h >> U64(24)).astype(np.int64)
+    return h, key, length, matches
 
 
-def _prefix_rows(documents: DataFrame, excess: np.ndarray) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(excess)
+def _prefix_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(k1, n, l, p, last, prefix) of each class of a chunk: last is the order key that ends the prefix."""
+    shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in text_chunks(batch.column(0)):
                 row, h, sizes = shingle_sets(raw, offsets)
                 k1 = _sums(mix64(h), sizes).view(np.int64)
-                ordered, length, matches = prefixes(row, h, sizes, shared.value)
+                ordered, key, length, matches = prefixes(row, h, sizes, shared.value)
                 start = np.cumsum(sizes) - sizes
                 _, first = np.unique(k1, return_index=True)
                 first = first[sizes[first] > 0]
                 binary = [ordered[start[r] : start[r] + length[r]].tobytes() for r in first.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), pa.array(sizes[first].astype(np.int64)), pa.array(matches[first].astype(np.int32)), pa.array(binary, pa.binary())], names=["k1", "n", "l", "prefix"])
+                ints = [pa.array(x[first].astype(np.int32)) for x in (sizes, matches, length)]
+                last = key[start[first] + length[first] - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), *ints, pa.array(last), pa.array(binary, pa.binary())], names=["k1", "n", "l", "p", "last", "prefix"])
 
-    return documents.select("text").mapInArrow(run, "k1 long, n long, l int, prefix binary")
+    return documents.select("text").mapInArrow(run, "k1 long, n int, l int, p int, last long, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, k1, n, pos): pos is the shingle's place in the class's prefix, from 1."""
     for batch in batches:
         step = 1000
         for lo in range(0, len(batch), step):
             part = batch.slice(lo, step)
-            tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(3).to_pylist()]
+            tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(2).to_pylist()]
             times = [len(x) for x in tokens]
-            cols = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), times) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), *(pa.array(c) for c in cols)], names=["token", "k1", "n", "l"])
+            cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), times)) for i in range(2)]
+            pos = np.concatenate([np.arange(1, t + 1, dtype=np.int32) for t in times])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *cols, pa.array(pos)], names=["token", "k1", "n", "pos"])
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,47 +205,50 @@ class NearDuplicates:
     """The join's tables: rows (doc_id, tkey, n, k1) and roots (k1, root) of linked classes."""
 
     def __init__(self, documents: DataFrame):
-        spark = documents.sparkSession
-        self.scratch = Scratch(spark)
+        self.scratch = Scratch(documents.sparkSession)
         keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
         first = self.scratch.keep(keyed.mapInArrow(_fingerprints, "doc_id long, tkey long, n long, k1 long, k2 long, piece int, counts binary"), "first")
         self.rows = first.where("piece is null").select("doc_id", "tkey", "n", "k1", "k2")
-        excess = merged_sketch(first.where("piece is not null").select("piece", "counts"))
-        self.roots = self._link(spark, keyed, excess)
-
-    def _link(self, spark: SparkSession, keyed: DataFrame, excess: np.ndarray) -> DataFrame:
+        counts = merged_sketch(first.where("piece is not null").select("piece", "counts"))
+        self.keyed = keyed
+        self.roots = self._link(counts)
+
+    def _texts(self, classes: DataFrame, name: str) -> DataFrame:
+        """(k1, text) of one document of each of the classes."""
+        chosen = self.rows.where("n > 0").join(classes, "k1", "left_semi").groupBy("k1").agg(F.min("tkey").alias("tkey"))
+        chosen = self.scratch.keep(chosen, f"{name}_keys")
+        small = chosen.count() <= BROADCAST_CLASSES
+        found = self.keyed.select("tkey", "text").join(F.broadcast(chosen) if small else chosen, "tkey")
+        return self.scratch.keep(found.dropDuplicates(["k1"]).select("k1", "text"), name)
+
+    def _link(self, counts: np.ndarray) -> DataFrame:
         keep = self.scratch.keep
-        classes = keep(_prefix_rows(keyed, excess).groupBy("k1").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix")), "classes")
-        postings = classes.mapInArrow(_postings, "token long, k1 long, n long, l int")
+        columns = [F.first(c).alias(c) for c in ("n", "l", "p", "last", "prefix")]
+        classes = keep(_prefix_rows(self.keyed, counts).groupBy("k1").agg(*columns), "classes")
+        postings = classes.select("k1", "n", "prefix").mapInArrow(_postings, "token long, k1 long, n int, pos int")
         repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
         live = keep(postings.join(repeated, "token").withColumn("comp", F.col("k1")), "live_0")
-        self.scratch.drop("classes")
-        # the texts of one document for each class that has a partner at all
-        wanted = live.select("k1").distinct()
-        chosen = self.rows.where("n > 0").groupBy("k1").agg(F.min("tkey").alias("tkey")).join(wanted, "k1")
-        texts = keep(keyed.select("tkey", "text").join(chosen, "tkey").dropDuplicates(["k1"]).select("k1", "text"), "texts")
+        ends = classes.select("k1", "n", "l", "p", "last")
         roots = keep(live.select("k1", F.col("k1").alias("root")).distinct(), "roots_0")
         step = 0
         while True:
             complete = step == HUB_PASSES
-            pairs = _cross_pairs(live) if complete else _hub_pairs(live, step)
-            links = keep(_verify(keep(pairs, f"pairs_{step}"), texts), f"links_{step}")
-            comp = roots.select(F.col("k1"), "root")
-            edges = links.join(comp.withColumnRenamed("k1", "u").withColumnRenamed("root", "cu"), "u").join(comp.withColumnRenamed("k1", "v").withColumnRenamed("root", "cv"), "v")
-            merged = connected_components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), self.scratch, f"cc_{step}")
-            moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            roots = keep(roots.join(moved, "root", "left").select("k1", F.coalesce("to", "root").alias("root")), f"roots_{step + 1}")
-            self.scratch.drop(f"pairs_{step}", f"roots_{step}")
+            pairs = keep(_cross_pairs(live, ends) if complete else _hub_pairs(live, ends, step), f"pairs_{step}")
+            texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), f"texts_{step}")
+            links = keep(_verify(pairs, texts), f"links_{step}")
+            self.scratch.drop(f"pairs_{step}", f"texts_{step}")
+            found = links.limit(1).count() > 0
+            if found:
+                edges = links.join(roots.select(F.col("k1").alias("u"), F.col("root").alias("cu")), "u").join(roots.select(F.col("k1").alias("v"), F.col("root").alias("cv")), "v")
+                merged = connected_components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), self.scratch, f"cc_{step}")
+                moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+                roots = keep(roots.join(moved, "root", "left").select("k1", F.coalesce("to", "root").alias("root")), f"roots_{step + 1}")
             if complete:
                 return roots
-            found = links.limit(1).count()
-            # postings that still hold more than one component
-            placed = live.drop("comp").join(roots.select("k1", F.col("root").alias("comp")), "k1")
-            mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-            live = keep(placed.join(mixed, "token").select("token", "k1", "n", "l", "comp"), f"live_{step + 1}")
-            self.scratch.drop(f"live_{step}", f"links_{step}")
-            if live.limit(1).count() == 0:
-                return roots
+            if found:  # only postings that still hold more than one component go on
+                placed = live.drop("comp").join(roots.select("k1", F.col("root").alias("comp")), "k1")
+                mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
+                live = keep(placed.join(mixed, "token").select("token", "k1", "n", "pos", "comp"), f"live_{step + 1}")
             step = step + 1 if found else HUB_PASSES
 
     def digest(self) -> DataFrame:
@@ -244,34 +262,46 @@ class NearDuplicates:
         return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~empty, F.col("root")).alias("root"))
 
 
-def _hub_pairs(live: DataFrame, step: int) -> DataFrame:
-    """One pair at most for each class: with the hub that most of its postings name.
+def _hub_pairs(live: DataFrame, ends: DataFrame, step: int) -> DataFrame:
+    """One pair at most for each class: with the hub that most of its postings name, if they are many.
 
-    The hub of a posting is its least or greatest class under a hash that changes by step.
+    The hub of a posting is its least class under a hash that changes by step.
     """
     order = F.xxhash64(F.lit(step), "k1")
     hubs = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("k1"), F.col("n"), F.col("comp"))).alias("hub"))
     met = live.join(hubs, "token").where((F.col("comp") != F.col("hub.comp")) & _sizes_fit(F.col("n"), F.col("hub.n")))
     counted = met.groupBy(F.col("k1").alias("a"), F.col("hub.k1").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    return counted.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = counted.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"), F.col("best.c").alias("c"))
+    return best.join(ends.select(F.col("k1").alias("a"), "p"), "a").where(F.col("c") >= HUB_SHARE * F.col("p")).select("a", "b")
 
 
-def _sizes_fit(n, m):
-    return (DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m))
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
 
 
-def _cross_pairs(live: DataFrame) -> DataFrame:
-    """All candidates across components: pairs that share the prefix shingles asked for."""
+def _cross_pairs(live: DataFrame, ends: DataFrame) -> DataFrame:
+    """All candidates across components.
+
+    c shared prefix shingles, the last of them at places i and j. A set whose prefix ends first
+    has its whole prefix within reach of the other's; else what comes before its last shared
+    shingle is. Of the shingles within reach, those not shared are at most n minus the overlap
+    that the similarity takes: overlap >= t / (1 + t) * (n_a + n_b), that is 4/9.
+    """
     comps = live.select("token", "comp").distinct()
     across = comps.select("token", F.col("comp").alias("ca")).join(comps.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    a = live.select("token", F.col("comp").alias("ca"), F.col("k1").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"))
-    b = live.select("token", F.col("comp").alias("cb"), F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"))
-    met = across.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least("la", "lb")).alias("need"))
-    return counted.where("c >= need").select("a", "b")
-
-
-def text_key():
+    side = lambda x: live.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"))
+    met = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    end = lambda x: ends.select(F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l", "p", "last")])
+    full = counted.join(end("a"), "a").join(end("b"), "b")
+    overlap = F.expr(f"({NUMERATOR} * (na + nb) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
+    reach_a = F.when(F.col("lasta") < F.col("lastb"), F.col("pa")).otherwise(F.col("ia"))
+    reach_b = F.when(F.col("lastb") < F.col("lasta"), F.col("pb")).otherwise(F.col("ib"))
+    fits = (F.col("c") >= F.least("la", "lb")) & (reach_a - F.col("c") <= F.col("na") - overlap) & (reach_b - F.col("c") <= F.col("nb") - overlap)
+    return full.where(fits).select("a", "b")
+
+
+def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
