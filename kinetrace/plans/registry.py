@@ -1,10 +1,403 @@
-"""All registered queries of the trajectory engine and the SQL that checks them."""
+"""All registered queries of the trajectory engine and the SQL that checks them.
+
+Results are rounded to 6 digits (adding 0.0 removes the sign of zero), so that engines which sum
+in another order agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinetrace.functions import geometry as G
+from kinetrace.functions import selection
+from kinetrace.operators import distance, frames, imaging, modes, series, superposition
+from kinetrace.plans import fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AXES = "xyz"
+#: Frames of the distance queries that the SQL check joins atom by atom and point by point.
+SURFACE_FRAMES = 50
+
+
+def _r(c: str, digits: int = 6) -> Column:
+    return (F.round(F.col(c), digits) + 0.0).alias(c)
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"WITH RECURSIVE {fixture.SQL} {sql}" if "RECURSIVE" in sql else f"WITH {fixture.SQL} {sql}"
+            ORACLES[name] = ORACLES[name].replace("/*RECURSIVE*/", "")
+        return f
+
+    return register
+
+
+# ---- selections ----
+_COLUMNS = ("atom_idx", "atom_name", "residue_id", "residue_name")
+_PROTEIN = "residue_name IN ('ALA', 'GLY', 'SER')"
+_BACKBONE = "atom_name IN ('N', 'CA', 'C', 'O', 'HA', 'H')"
+for _name, _text, _where in (
+    ("sel_all", "all", "TRUE"),
+    ("sel_protein", "protein", _PROTEIN),
+    ("sel_backbone", "backbone", f"{_PROTEIN} AND {_BACKBONE}"),
+    ("sel_name", "name CA N", "atom_name IN ('CA', 'N')"),
+    ("sel_resname", "resname GLY WAT", "residue_name IN ('GLY', 'WAT')"),
+    ("sel_resid", "resid 1-2 4", "residue_id BETWEEN 1 AND 2 OR residue_id = 4"),
+    ("sel_index", "index 0-4 -3", "atom_idx BETWEEN 0 AND 4 OR atom_idx = 18"),
+    ("sel_and_or_not", "(name CA or name C) and not resname WAT or index 7", "(atom_name IN ('CA', 'C') AND NOT residue_name = 'WAT') OR atom_idx = 7"),
+):
+    query(_name, f"SELECT atom_idx, atom_name, residue_id, residue_name FROM topo WHERE {_where}")(lambda spark, d, t=_text: selection.select(fixture.atoms(spark), t).select(*_COLUMNS))
+
+
+@query("strip_solvent", "SELECT atom_idx, CAST(row_number() OVER (ORDER BY atom_idx) - 1 AS INTEGER) AS new_idx FROM topo WHERE residue_name <> 'WAT'")
+def strip_solvent(spark, d):
+    return imaging.strip(fixture.atoms(spark)).select("atom_idx", F.col("new_idx").cast("int").alias("new_idx"))
+
+
+@query("vdw_radii", "SELECT atom_idx, CAST(CASE element WHEN 'H' THEN 1.2 WHEN 'C' THEN 1.7 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.7 END AS DOUBLE) AS radius FROM topo")
+def vdw_radii(spark, d):
+    return fixture.atoms(spark).select("atom_idx", selection.vdw_radius().alias("radius"))
+
+
+@query("atomic_numbers", "SELECT atom_idx, CAST(CASE element WHEN 'H' THEN 1 WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 0 END AS INTEGER) AS z FROM topo")
+def atomic_numbers(spark, d):
+    return fixture.atoms(spark).select("atom_idx", selection.atomic_number().cast("int").alias("z"))
+
+
+# ---- aggregates of frames ----
+@query("info", "SELECT CAST((SELECT count(*) FROM topo) AS BIGINT) AS n_atoms, CAST((SELECT count(DISTINCT residue_id) FROM topo) AS BIGINT) AS n_residues, CAST((SELECT count(*) FROM bonds) AS BIGINT) AS n_bonds, CAST((SELECT count(DISTINCT frame_id) FROM coords) AS BIGINT) AS n_frames")
+def info(spark, d):
+    return frames.info(fixture.atoms(spark), fixture.bonds(spark), fixture.times(spark, d))
+
+
+def _weighted(spark, d, text="all", mass=True):
+    atoms = selection.select(fixture.atoms(spark), text)
+    return frames.weighted(fixture.coords(spark, d), atoms, mass)
+
+
+_MEAN = ", ".join(f"round(sum(mass * {a}) / sum(mass), 6) + 0.0 AS c{a}" for a in AXES)
+
+
+@query("centroid", f"SELECT system_id, frame_id, {_MEAN} FROM coords JOIN topo USING (atom_idx) GROUP BY system_id, frame_id")
+def centroid(spark, d):
+    return frames.centroid(_weighted(spark, d)).select("system_id", "frame_id", *[_r(f"c{a}") for a in AXES])
+
+
+def _rg_sql(weight: str) -> str:
+    return f"""SELECT system_id, frame_id, round(sqrt(sum({weight} * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum({weight})), 6) AS rg
+FROM (SELECT *, {", ".join(f"sum({weight} * {a}) OVER f / sum({weight}) OVER f AS c{a}" for a in AXES)} FROM coords JOIN topo USING (atom_idx) WINDOW f AS (PARTITION BY system_id, frame_id))
+GROUP BY system_id, frame_id"""
+
+
+@query("rg_mass", _rg_sql("mass"))
+def rg_mass(spark, d):
+    return frames.radius_of_gyration(_weighted(spark, d)).select("system_id", "frame_id", _r("rg"))
+
+
+@query("rg_unit", _rg_sql("1.0"))
+def rg_unit(spark, d):
+    return frames.radius_of_gyration(_weighted(spark, d, mass=False)).select("system_id", "frame_id", _r("rg"))
+
+
+@query("rg_ragged", """SELECT frame_id, round(sqrt(sum(w * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum(w)), 6) AS rg FROM (
+SELECT *, sum(w * x) OVER f / sum(w) OVER f AS cx, sum(w * y) OVER f / sum(w) OVER f AS cy, sum(w * z) OVER f / sum(w) OVER f AS cz FROM (
+SELECT l_orderkey AS frame_id, l_quantity AS w, l_extendedprice / 1000.0 AS x, 100.0 * l_discount AS y, 100.0 * l_tax AS z FROM lineitem) WINDOW f AS (PARTITION BY frame_id)) GROUP BY frame_id""")
+def rg_ragged(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit(0).alias("system_id"), F.col("l_orderkey").alias("frame_id"), F.col("l_quantity").alias("w"), (F.col("l_extendedprice") / 1000.0).alias("x"), (100.0 * F.col("l_discount")).alias("y"), (100.0 * F.col("l_tax")).alias("z"))
+    return frames.radius_of_gyration(rows).select("frame_id", _r("rg"))
+
+
+def _unaligned_sql(weight: str) -> str:
+    return f"""SELECT c.system_id, c.frame_id, round(sqrt(sum({weight} * ((c.x - r.x) ** 2 + (c.y - r.y) ** 2 + (c.z - r.z) ** 2)) / sum({weight})), 6) AS rmsd
+FROM coords c JOIN (SELECT * FROM coords WHERE frame_id = 0) r USING (atom_idx) JOIN topo USING (atom_idx) GROUP BY c.system_id, c.frame_id"""
+
+
+@query("rmsd_noalign", _unaligned_sql("1.0"))
+def rmsd_noalign(spark, d):
+    return frames.rmsd_unaligned(_weighted(spark, d, mass=False), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+
+
+@query("rmsd_noalign_weighted", _unaligned_sql("mass"))
+def rmsd_noalign_weighted(spark, d):
+    return frames.rmsd_unaligned(_weighted(spark, d), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+
+
+@query("time_axis", "SELECT CAST(label AS INTEGER) AS system_id, vec_id AS frame_id, round(2.0 * vec_id * 0.001, 6) + 0.0 AS t, 'Time (ns)' AS label FROM embeddings WHERE embedding IS NOT NULL")
+def time_axis(spark, d):
+    return frames.time_axis(fixture.times(spark, d), unit="ns").select("system_id", "frame_id", _r("t"), "label")
+
+
+@query("frame_slice", "SELECT system_id, source_frame, CAST(pos // 3 AS BIGINT) AS frame_id FROM (SELECT CAST(label AS INTEGER) AS system_id, vec_id AS source_frame, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 - 2 AS pos FROM embeddings WHERE embedding IS NOT NULL) WHERE pos >= 0 AND pos % 3 = 0")
+def frame_slice(spark, d):
+    return frames.slice_frames(fixture.times(spark, d), 2, None, 3).select("system_id", "source_frame", "frame_id")
+
+
+# ---- superposition ----
+def _moments_sql(weight: str, where: str = "TRUE", ref: str = "(SELECT atom_idx, x AS rx, y AS ry, z AS rz FROM coords WHERE frame_id = 0)") -> str:
+    p, q = {a: f"({a} - c{a})" for a in AXES}, {a: f"(r{a} - q{a})" for a in AXES}
+    sums = ", ".join(f"sum(w * {p[a]} * {q[b]}) AS m{a}{b}" for a in AXES for b in AXES)
+    return f"""
+centred AS (SELECT *, {", ".join(f"sum(w * {a}) OVER f / sum(w) OVER f AS c{a}, sum(w * r{a}) OVER f / sum(w) OVER f AS q{a}" for a in AXES)}
+  FROM (SELECT c.*, r.rx, r.ry, r.rz, CAST({weight} AS DOUBLE) AS w FROM coords c JOIN {ref} r USING (atom_idx) JOIN topo USING (atom_idx) WHERE {where}) WINDOW f AS (PARTITION BY system_id, frame_id)),
+moments AS (SELECT system_id, frame_id, sum(w) AS w, sum(w * ({" + ".join(f"{p[a]} * {p[a]}" for a in AXES)})) AS ga, sum(w * ({" + ".join(f"{q[a]} * {q[a]}" for a in AXES)})) AS gb, {sums},
+  {", ".join(f"max(c{a}) AS pc{a}, max(q{a}) AS qc{a}" for a in AXES)} FROM centred GROUP BY system_id, frame_id),
+poly AS (SELECT *, {G.C2} AS c2, {G.C1} AS c1, {G.C0} AS c0 FROM moments),
+roots AS (SELECT *, {G.DUCK_ROOT} AS root FROM poly)"""
+
+
+def _align_sql() -> str:
+    diag = ", ".join(f"abs({G.cofactor(i, i)}) AS d{i}" for i in range(4))
+    pick = lambda j: "CASE greatest(d0, d1, d2, d3) " + " ".join(f"WHEN d{i} THEN {G.cofactor(i, j)}" for i in range(4)) + " END"
+    turn = ", ".join(f"{e} AS {n}" for n, e in G.rotation().items())
+    return f""",
+diag AS (SELECT *, {diag} FROM roots),
+vec AS (SELECT *, {", ".join(f"{pick(j)} AS v{j}" for j in range(4))} FROM diag),
+quat AS (SELECT *, {", ".join(f"v{j} / sqrt(v0 * v0 + v1 * v1 + v2 * v2 + v3 * v3) * CASE WHEN v0 < 0 THEN -1.0 ELSE 1.0 END AS q{j}" for j in range(4))} FROM vec),
+turn AS (SELECT *, {turn} FROM quat),
+aligned AS (SELECT c.system_id, c.frame_id, c.atom_idx, {", ".join(" + ".join(f"r{a}{b} * (c.{b} - pc{b})" for b in AXES) + f" + qc{a} AS {a}" for a in AXES)} FROM coords c JOIN turn USING (system_id, frame_id))"""
+
+
+@query("rmsd_qcp", f", {_moments_sql('1.0', "atom_name = 'CA'")} SELECT system_id, frame_id, round({G.RMSD}, 6) + 0.0 AS rmsd FROM roots")
+def rmsd_qcp(spark, d):
+    return superposition.rmsd(_weighted(spark, d, "name CA", False), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+
+
+@query("rmsd_qcp_weighted", f", {_moments_sql('mass')} SELECT system_id, frame_id, round({G.RMSD}, 6) + 0.0 AS rmsd FROM roots")
+def rmsd_qcp_weighted(spark, d):
+    return superposition.rmsd(_weighted(spark, d), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+
+
+@query("aligned_coords", f", {_moments_sql('mass')} {_align_sql()} SELECT system_id, frame_id, atom_idx, {', '.join(f'round({a}, 5) + 0.0 AS {a}' for a in AXES)} FROM aligned")
+def aligned_coords(spark, d):
+    return superposition.align(_weighted(spark, d), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", "atom_idx", *[_r(a, 5) for a in AXES])
+
+
+_MEAN_REF = "(SELECT atom_idx, avg(x) AS rx, avg(y) AS ry, avg(z) AS rz FROM coords GROUP BY atom_idx)"
+_RMSF = f", {_moments_sql('mass', ref=_MEAN_REF)} {_align_sql()}, fluct AS (SELECT atom_idx, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsf FROM aligned GROUP BY atom_idx)"
+
+
+@query("rmsf_atom", f"{_RMSF} SELECT atom_idx, round(rmsf, 6) AS rmsf FROM fluct")
+def rmsf_atom(spark, d):
+    return superposition.rmsf(_weighted(spark, d)).select("atom_idx", _r("rmsf"))
+
+
+@query("rmsf_residue", f"{_RMSF} SELECT residue_id, round(sum(mass * rmsf) / sum(mass), 6) AS rmsf, min(atom_idx) AS first_atom FROM fluct JOIN topo USING (atom_idx) GROUP BY residue_id")
+def rmsf_residue(spark, d):
+    return superposition.by_residue(superposition.rmsf(_weighted(spark, d)), fixture.atoms(spark)).select("residue_id", _r("rmsf"), "first_atom")
+
+
+# ---- distances ----
+_D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+_DONORS = f"donors AS (SELECT a.atom_idx AS donor, b.atom_idx AS hydrogen FROM (SELECT * FROM coords JOIN topo USING (atom_idx)) a JOIN (SELECT * FROM coords JOIN topo USING (atom_idx)) b ON a.frame_id = b.frame_id AND a.frame_id = 0 AND a.element IN ('N', 'O') AND b.element = 'H' AND {_D} <= 1.3)"
+
+
+@query("donors", f", {_DONORS} SELECT donor, hydrogen FROM donors")
+def donors(spark, d):
+    return distance.donors(fixture.coords(spark, d), fixture.atoms(spark))
+
+
+@query("hbond_count", f""", {_DONORS},
+near AS (SELECT a.system_id, a.frame_id, a.atom_idx AS donor, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM coords a JOIN coords b ON a.system_id = b.system_id AND a.frame_id = b.frame_id AND a.atom_idx <> b.atom_idx AND {_D} < 3.5 AND {_D} > 1e-6
+  WHERE a.atom_idx IN (SELECT donor FROM donors) AND b.atom_idx IN (SELECT atom_idx FROM topo WHERE element IN ('N', 'O'))),
+found AS (SELECT n.system_id, n.frame_id, count(*) AS n FROM near n JOIN donors USING (donor) JOIN coords h ON h.system_id = n.system_id AND h.frame_id = n.frame_id AND h.atom_idx = donors.hydrogen
+  WHERE ((ax - h.x) * (bx - h.x) + (ay - h.y) * (by_ - h.y) + (az - h.z) * (bz - h.z)) / greatest(sqrt((ax - h.x) ** 2 + (ay - h.y) ** 2 + (az - h.z) ** 2) * sqrt((bx - h.x) ** 2 + (by_ - h.y) ** 2 + (bz - h.z) ** 2), 1e-12) < cos(radians(150.0)) GROUP BY n.system_id, n.frame_id)
+SELECT system_id, frame_id, CAST(coalesce(n, 0) AS BIGINT) AS n_hbonds FROM (SELECT DISTINCT system_id, frame_id FROM coords) LEFT JOIN found USING (system_id, frame_id)""")
+def hbond_count(spark, d):
+    coords, atoms = fixture.coords(spark, d), fixture.atoms(spark)
+    return distance.hydrogen_bonds(coords, atoms, distance.donors(coords, atoms))
+
+
+@query("contact_pairs", f"SELECT a.system_id, a.frame_id, a.atom_idx AS i, b.atom_idx AS j, round({_D}, 6) AS d FROM coords a JOIN coords b ON a.system_id = b.system_id AND a.frame_id = b.frame_id AND a.atom_idx < b.atom_idx AND {_D} <= 2.0")
+def contact_pairs(spark, d):
+    return distance.contacts(fixture.coords(spark, d), 2.0).select("system_id", "frame_id", "i", "j", _r("d"))
+
+
+_SASA = f""", reach AS (SELECT *, CASE element WHEN 'H' THEN 1.2 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.7 END + 1.4 AS r FROM coords JOIN topo USING (atom_idx) WHERE frame_id <= {SURFACE_FRAMES}),
+sphere AS (SELECT i, sin(phi) * cos(th) AS sx, sin(phi) * sin(th) AS sy, cos(phi) AS sz FROM (SELECT i, acos(1 - 2 * (i + 0.5) / 96) AS phi, pi() * (1 + sqrt(5)) * (i + 0.5) AS th FROM range(96) t(i))),
+hidden AS (SELECT DISTINCT a.system_id, a.frame_id, a.atom_idx, s.i FROM reach a JOIN reach b ON a.system_id = b.system_id AND a.frame_id = b.frame_id AND a.atom_idx <> b.atom_idx CROSS JOIN sphere s WHERE (a.x + a.r * sx - b.x) ** 2 + (a.y + a.r * sy - b.y) ** 2 + (a.z + a.r * sz - b.z) ** 2 < CAST(b.r AS DOUBLE) * CAST(b.r AS DOUBLE)),
+area AS (SELECT a.system_id, a.frame_id, a.atom_idx, 4 * pi() * CAST(r AS DOUBLE) * CAST(r AS DOUBLE) * (96 - coalesce(n, 0)) / 96 AS sasa FROM reach a LEFT JOIN (SELECT system_id, frame_id, atom_idx, count(*) AS n FROM hidden GROUP BY ALL) USING (system_id, frame_id, atom_idx))"""
+
+
+def _surface(spark, d):
+    return distance.sasa_atoms(fixture.coords(spark, d, SURFACE_FRAMES), fixture.atoms(spark))
+
+
+@query("sasa_atom", f"{_SASA} SELECT system_id, frame_id, atom_idx, round(sasa, 6) + 0.0 AS sasa FROM area")
+def sasa_atom(spark, d):
+    return _surface(spark, d).select("system_id", "frame_id", "atom_idx", _r("sasa"))
+
+
+@query("sasa_frame", f"{_SASA} SELECT system_id, frame_id, round(sum(sasa), 6) AS sasa FROM area GROUP BY system_id, frame_id")
+def sasa_frame(spark, d):
+    return distance.sasa_frames(_surface(spark, d)).select("system_id", "frame_id", _r("sasa"))
+
+
+@query("sasa_kernel", f"{_SASA} SELECT system_id, frame_id, round(sum(sasa), 6) AS sasa FROM area GROUP BY system_id, frame_id")
+def sasa_kernel(spark, d):
+    radii = [r["radius"] for r in vdw_radii(spark, d).orderBy("atom_idx").collect()]
+    return distance.sasa_kernel(frames.wide_frames(fixture.coords(spark, d, SURFACE_FRAMES)), radii).select("system_id", "frame_id", _r("sasa"))
+
+
+# ---- modes and clusters ----
+def _pca(spark, d):
+    aligned = superposition.align(_weighted(spark, d, "name CA", False), frames.reference(fixture.coords(spark, d), 0))
+    return modes.PCA(frames.wide_frames(aligned), 6)
+
+
+@query("pca_scree")
+def pca_scree(spark, d):
+    return _pca(spark, d).scree().select("pc", *[_r(c) for c in ("eigenvalue", "fraction", "total_fraction", "cumulative")])
+
+
+@query("pca_project_abs")
+def pca_project_abs(spark, d):
+    return _pca(spark, d).project().select("system_id", "frame_id", "pc", F.round(F.abs("value"), 6).alias("value"))
+
+
+@query("pca_extreme_frames")
+def pca_extreme_frames(spark, d):
+    return _pca(spark, d).extreme_frames().select("step", "atom", "axis", _r("value"))
+
+
+def _points(spark, d):
+    v = fixture.vectors(spark, d)
+    return v.select(F.col("label").cast("int").alias("system_id"), F.col("vec_id").alias("frame_id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("features"))
+
+
+def _start(spark, d):
+    first = _points(spark, d).where("frame_id IN (0, 1, 2)").select(F.col("frame_id").cast("int").alias("cluster"), F.col("features").alias("centre"))
+    return first
+
+
+_DIST = "list_sum(list_transform(range(1, 4), lambda i: (f[i] - c[i]) * (f[i] - c[i])))"
+
+
+def _lloyd_sql(rounds: int) -> str:
+    points = ", points AS (SELECT CAST(label AS INTEGER) AS system_id, vec_id AS frame_id, CAST(embedding[1:3] AS DOUBLE[]) AS f FROM embeddings WHERE embedding IS NOT NULL), c0 AS (SELECT CAST(frame_id AS INTEGER) AS cluster, f AS c FROM points WHERE frame_id IN (0, 1, 2))"
+    for k in range(rounds + 1):
+        points += f", a{k} AS (SELECT system_id, frame_id, any_value(f) AS f, arg_min(cluster, [d2, cluster]) AS cluster, min(d2) AS d2 FROM (SELECT *, {_DIST} AS d2 FROM points, c{k}) GROUP BY system_id, frame_id)"
+        points += f", c{k + 1} AS (SELECT c.cluster, CASE WHEN count(a.f) = 0 THEN any_value(c.c) ELSE [avg(a.f[1]), avg(a.f[2]), avg(a.f[3])] END AS c FROM c{k} c LEFT JOIN a{k} a USING (cluster) GROUP BY c.cluster)"
+    return points
+
+
+@query("kmeans_lloyd_fixed", f"{_lloyd_sql(3)} SELECT cluster, CAST(i AS INTEGER) AS dim, round(c[i], 6) + 0.0 AS value FROM c3, range(1, 4) t(i)")
+def kmeans_lloyd_fixed(spark, d):
+    centres = modes.lloyd(_points(spark, d), _start(spark, d), 3)
+    return centres.select("cluster", F.posexplode("centre").alias("p", "value")).select("cluster", (F.col("p") + 1).alias("dim"), _r("value"))
+
+
+@query("cluster_reps", f"{_lloyd_sql(3)} SELECT cluster, CAST(arg_min(frame_id, [d2, frame_id]) AS BIGINT) AS frame_id FROM a3 GROUP BY cluster")
+def cluster_reps(spark, d):
+    centres = modes.lloyd(_points(spark, d), _start(spark, d), 3)
+    return modes.representatives(modes.assign(_points(spark, d), centres), centres)
+
+
+@query("kmeans_seeded")
+def kmeans_seeded(spark, d):
+    labels, _ = modes.kmeans(_points(spark, d), k=3)
+    return labels.select("system_id", "frame_id", "cluster")
+
+
+# ---- preparation ----
+@query("molecules", "/*RECURSIVE*/, walk(atom_idx, reach) AS (SELECT atom_idx, atom_idx FROM topo UNION SELECT w.atom_idx, CASE WHEN b.i = w.reach THEN b.j ELSE b.i END FROM walk w JOIN bonds b ON b.i = w.reach OR b.j = w.reach) SELECT atom_idx, min(reach) AS molecule FROM walk GROUP BY atom_idx")
+def molecules(spark, d):
+    return imaging.molecules(fixture.atoms(spark), fixture.bonds(spark))
+
+
+_WHOLE = ", steps AS (SELECT *, atom_idx // 5 AS mol, " + ", ".join(f"{a} - lag({a}) OVER m AS d{a}, first({a}) OVER m AS f{a}" for a in AXES) + " FROM wrapped WINDOW m AS (PARTITION BY system_id, frame_id, atom_idx // 5 ORDER BY atom_idx)), whole AS (SELECT system_id, frame_id, atom_idx, mol, " + ", ".join(f"f{a} + sum(coalesce(d{a} - round_even(d{a} / 12.0, 0) * 12.0, 0.0)) OVER (PARTITION BY system_id, frame_id, mol ORDER BY atom_idx) AS {a}" for a in AXES) + " FROM steps)"
+
+
+@query("restitch", f"{_WHOLE} SELECT system_id, frame_id, atom_idx, {', '.join(f'round({a}, 6) + 0.0 AS {a}' for a in AXES)} FROM whole")
+def restitch(spark, d):
+    mols = imaging.molecules(fixture.atoms(spark), fixture.bonds(spark))
+    return imaging.restitch(fixture.wrapped(spark, d), mols, fixture.boxes(spark, d)).select("system_id", "frame_id", "atom_idx", *[_r(a) for a in AXES])
+
+
+# the largest molecules have five atoms; the first of those with an anchor atom (CA) is atom 0's
+_IMAGED = f"""{_WHOLE}, anchor AS (SELECT system_id, frame_id, {", ".join(f"avg({a}) AS a{a}" for a in AXES)} FROM whole WHERE mol = 0 AND atom_idx % 5 = 4 GROUP BY system_id, frame_id),
+middle AS (SELECT system_id, frame_id, mol, {", ".join(f"avg({a}) AS m{a}" for a in AXES)} FROM whole GROUP BY system_id, frame_id, mol),
+imaged AS (SELECT w.system_id, w.frame_id, w.atom_idx, {", ".join(f"CASE WHEN w.mol = 0 THEN {a} + 6.0 - a{a} ELSE {a} - 12.0 * round_even((m{a} - 6.0) / 12.0, 0) END AS {a}" for a in AXES)} FROM whole w JOIN anchor USING (system_id, frame_id) JOIN middle m ON m.system_id = w.system_id AND m.frame_id = w.frame_id AND m.mol = w.mol)"""
+
+
+@query("autoimage_ortho", f"{_IMAGED} SELECT system_id, frame_id, atom_idx, {', '.join(f'round({a}, 6) + 0.0 AS {a}' for a in AXES)} FROM imaged")
+def autoimage_ortho(spark, d):
+    atoms = fixture.atoms(spark)
+    out = imaging.autoimage(fixture.wrapped(spark, d), imaging.molecules(atoms, fixture.bonds(spark)), fixture.boxes(spark, d), selection.select(atoms, "name CA"))
+    return out.select("system_id", "frame_id", "atom_idx", *[_r(a) for a in AXES])
+
+
+@query("prepare", f"{_IMAGED} SELECT system_id, frame_id, CAST(CASE WHEN atom_idx > 19 THEN atom_idx - 5 ELSE atom_idx END AS INTEGER) AS atom_idx, {', '.join(f'round({a}, 6) + 0.0 AS {a}' for a in AXES)} FROM imaged WHERE atom_idx NOT BETWEEN 15 AND 19")
+def prepare(spark, d):
+    atoms = fixture.atoms(spark)
+    out = imaging.prepare(fixture.wrapped(spark, d), atoms, fixture.bonds(spark), fixture.boxes(spark, d), selection.select(atoms, "name CA"))
+    return out.select("system_id", "frame_id", F.col("atom_idx").cast("int").alias("atom_idx"), *[_r(a) for a in AXES])
+
+
+@query("residue_renumber", "SELECT atom_idx, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS new_residue_id FROM (SELECT atom_idx, min(atom_idx) OVER (PARTITION BY residue_id) AS first FROM topo WHERE residue_name <> 'WAT')")
+def residue_renumber(spark, d):
+    return imaging.strip(fixture.atoms(spark)).select("atom_idx", "new_residue_id")
+
+
+@query("cell_lengths_angles", "SELECT CAST(label AS INTEGER) AS system_id, vec_id AS frame_id, 10.0 + label AS a, 12.0 AS b, 14.0 AS c, 80.0 AS alpha, 95.0 AS beta, 70.0 AS gamma FROM embeddings WHERE embedding IS NOT NULL")
+def cell_lengths_angles(spark, d):
+    cells = fixture.times(spark, d).select("system_id", "frame_id", (10.0 + F.col("system_id")).alias("a"), *[F.lit(v).alias(n) for n, v in (("b", 12.0), ("c", 14.0), ("al", 80.0), ("be", 95.0), ("ga", 70.0))])
+    boxes = cells.select("system_id", "frame_id", imaging.cell_vectors(["a", "b", "c"], ["al", "be", "ga"]).alias("box"))
+    return imaging.cell_lengths_angles(boxes).select("system_id", "frame_id", *[_r(c) for c in ("a", "b", "c", "alpha", "beta", "gamma")])
+
+
+# ---- series ----
+@query("running_average", "SELECT system, x, round(avg(y) OVER (PARTITION BY system ORDER BY x ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) + 0.0 AS smooth FROM series")
+def running_average(spark, d):
+    return series.running_average(fixture.series(spark, d), series.window_size(10**6, 21)).select("system", "x", _r("smooth"))
+
+
+@query("robust_ylim", """, p AS (SELECT system, quantile_cont(y, 0.01) AS p1, quantile_cont(y, 0.99) AS p99 FROM series GROUP BY system),
+s AS (SELECT *, p99 - p1 AS span, (p99 - p1) / 5.0 AS raw, 10.0 ** floor(log10((p99 - p1) / 5.0)) AS pw FROM p),
+t AS (SELECT *, CASE WHEN raw <= pw THEN pw WHEN raw <= 2 * pw THEN 2 * pw WHEN raw <= 2.5 * pw THEN 2.5 * pw WHEN raw <= 5 * pw THEN 5 * pw ELSE 10 * pw END AS step FROM s)
+SELECT system, round(CASE WHEN p1 >= 0 AND p1 <= greatest(p99, 0) * 0.05 THEN 0.0 ELSE p1 - 0.1 * span END, 6) + 0.0 AS lo, round(ceil((p99 + 0.1 * span) / step) * step + step, 6) AS hi FROM t""")
+def robust_ylim(spark, d):
+    return series.robust_limits(fixture.series(spark, d)).select("system", _r("lo"), _r("hi"))
+
+
+@query("x_limits", "SELECT system, min(x) AS lo, max(x) AS hi FROM series GROUP BY system")
+def x_limits(spark, d):
+    return series.x_limits(fixture.series(spark, d))
+
+
+@query("region_join", "SELECT system, x, region FROM series JOIN (VALUES ('head', 0.0, 10.0), ('mid', 8.0, 20.0), ('tail', 90.0, 100.0)) r(region, lo, hi) ON x >= lo AND x <= hi")
+def region_join(spark, d):
+    return series.regions(fixture.series(spark, d), [("head", 0, 10), ("mid", 20, 8), ("tail", 90, 100)]).select("system", "x", "region")
+
+
+@query("cdr_flag", "SELECT system, x, (x BETWEEN 26 AND 35) OR (x BETWEEN 50 AND 58) AS in_cdr FROM series")
+def cdr_flag(spark, d):
+    return fixture.series(spark, d).select("system", "x", series.in_ranges("x", series.parse_ranges("26-35, 58-50, oops")).alias("in_cdr"))
+
+
+_ENERGY = ", energy AS (SELECT CAST(residue_id AS VARCHAR) AS system, CAST(frame_id AS DOUBLE) AS x, round(x, 6) AS y FROM coords JOIN topo USING (atom_idx) WHERE atom_name = 'CA')"
+
+
+def _energy(spark, d):
+    rows = fixture.coords(spark, d).join(F.broadcast(selection.select(fixture.atoms(spark), "name CA")), "atom_idx")
+    return rows.select(F.col("residue_id").cast("string").alias("system"), F.col("frame_id").cast("double").alias("x"), F.round("x", 6).alias("y"))
+
+
+@query("mmgbsa_top3", f"{_ENERGY} SELECT system, x, y, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY y, x) AS rank FROM energy WHERE y < 0) WHERE rank <= 3")
+def mmgbsa_top3(spark, d):
+    return series.mmgbsa_top(_energy(spark, d))
+
+
+@query("mmgbsa_mode", f"{_ENERGY} SELECT system, CASE WHEN count(*) <= 80 THEN 'residue' ELSE 'frame' END AS mode, count(*) AS n FROM energy GROUP BY system")
+def mmgbsa_mode(spark, d):
+    return series.mmgbsa_mode(_energy(spark, d))
+
+
+@query("overlay_mean", "SELECT system, round(avg(y), 6) AS mean_y FROM series GROUP BY system")
+def overlay_mean(spark, d):
+    return series.overlay_means(fixture.series(spark, d)).select("system", _r("mean_y"))
