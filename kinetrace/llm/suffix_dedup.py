@@ -6,7 +6,7 @@ one included) is removed. Exact:
 1. Texts are taken once each; a text of WINDOW bytes or more that occurs twice goes wholly.
 2. Every window has an anchor: the position of the least 8-gram hash (leftmost on ties) among its
    first WINDOW - PREFIX + 1. Equal windows have their anchors at equal offsets, so only suffixes
-   that start at anchors (one in about 60 bytes) are indexed. The windows of an anchor are a run of
+   that start at anchors (one in about 30 bytes) are indexed. The windows of an anchor are a run of
    starts lo .. hi.
 3. The texts come in batches. A batch's anchored suffixes are sorted into a suffix array (by the
    fingerprint of their first PREFIX bytes; only equality of prefixes is asked for, so any order of
@@ -15,7 +15,7 @@ one included) is removed. Exact:
    and levels of equal size merge, as the carries of a binary counter.
 4. Matches are narrowed to windows: a match whose whole stretch lo .. hi + WINDOW occurs twice is
    settled at once. Where matches of one prefix differ in their stretches, each window of every
-   different stretch (taken once) is looked up by a 128-bit fingerprint.
+   different stretch (taken once) is looked up by a 96-bit fingerprint.
 
 The arrays are cut into buckets by fingerprint, and a bucket is the unit of work: NB grows with
 the input, so a bucket's size does not. A task sends one entry for each fingerprint at most (its
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.common import U64, PrefixHash, Scratch, text_chunks
 
-WINDOW, PREFIX = 200, 80
+WINDOW, PREFIX = 200, 140
 BATCHES = 4
-#: Text bytes for each bucket (about a sixtieth as many suffixes), and the least number of buckets.
-BUCKET_BYTES, MIN_BUCKETS = 128 << 20, 16
+#: Text bytes for each bucket (about a thirtieth as many suffixes), and the least number of buckets.
+BUCKET_BYTES, MIN_BUCKETS = 64 << 20, 16
 #: Entries that a task gathers before it sends them.
 RUN_ENTRIES = 1 << 20
 
@@ -84,7 +84,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class _Entries:
     """Fingerprints with the text and the window starts that they stand for."""
 
-    fields = (("key", np.uint64), ("check", np.uint64), ("id", np.int64), ("lo", np.int32), ("hi", np.int32))
+    fields = (("key", np.uint64), ("check", np.uint32), ("id", np.int64), ("lo", np.int32), ("hi", np.int32))
 
     def __init__(self, *columns: np.ndarray):
         self.columns = columns
@@ -123,7 +123,7 @@ class _Entries:
     @classmethod
     def unpacked(cls, n: int, keys: bytes, refs: bytes) -> _Entries:
         key = np.frombuffer(keys, np.uint64, n)
-        check = np.frombuffer(keys, U64, n, 8 * n) if len(keys) > 8 * n else np.zeros(n, U64)
+        check = np.frombuffer(keys, np.uint32, n, 8 * n) if len(keys) > 8 * n else np.zeros(n, np.uint32)
         raw, at, rest = zlib.decompress(refs), 0, []
         for _, t in cls.fields[2:]:
             size = n * np.dtype(t).itemsize
@@ -196,7 +196,7 @@ def _anchor_entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, _) ->
     anchor, lo, hi = anchored(raw, offsets)
     row = np.searchsorted(offsets, lo, side="right") - 1
     key = PrefixHash(raw).ranges(anchor, anchor + PREFIX) if len(anchor) else np.zeros(0, U64)
-    return _Entries(key, np.zeros(len(key), U64), ids[row], (lo - offsets[row]).astype(np.int32), (hi - offsets[row]).astype(np.int32))
+    return _Entries(key, np.zeros(len(key), np.uint32), ids[row], (lo - offsets[row]).astype(np.int32), (hi - offsets[row]).astype(np.int32))
 
 
 def _spread(part: pa.RecordBatch, column: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +233,8 @@ def _window_entries(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, part:
     if not len(at):
         return _Entries.concat([])
     place = (at - offsets[row]).astype(np.int32)
-    return _Entries(PrefixHash(raw).ranges(at, at + WINDOW), PrefixHash(raw, 1).ranges(at, at + WINDOW), ids[row], place, place)
+    check = (PrefixHash(raw, 1).ranges(at, at + WINDOW) >> U64(32)).astype(np.uint32)
+    return _Entries(PrefixHash(raw).ranges(at, at + WINDOW), check, ids[row], place, place)
 
 
 def _merge_scan(carries: int, last: bool) -> Callable:
