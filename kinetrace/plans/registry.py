@@ -19,7 +19,7 @@ from kinetrace.plans import fixture
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AXES = "xyz"
-#: Frames of the distance queries that the SQL check joins atom by atom and point by point.
+#: Last frame of the surface SQL, which joins atoms and points. The queries cover all frames.
 SURFACE_FRAMES = 50
 
 
@@ -225,7 +225,7 @@ area AS (SELECT a.system_id, a.frame_id, a.atom_idx, 4 * pi() * CAST(r AS DOUBLE
 
 
 def _surface(spark, d):
-    return distance.sasa_atoms(fixture.coords(spark, d, SURFACE_FRAMES), fixture.atoms(spark))
+    return distance.sasa_atoms(fixture.coords(spark, d), fixture.atoms(spark))
 
 
 @query("sasa_atom", f"{_SASA} SELECT system_id, frame_id, atom_idx, round(sasa, 6) + 0.0 AS sasa FROM area")
@@ -241,7 +241,7 @@ def sasa_frame(spark, d):
 @query("sasa_kernel", f"{_SASA} SELECT system_id, frame_id, round(sum(sasa), 6) AS sasa FROM area GROUP BY system_id, frame_id")
 def sasa_kernel(spark, d):
     radii = [r["radius"] for r in vdw_radii(spark, d).orderBy("atom_idx").collect()]
-    return distance.sasa_kernel(frames.wide_frames(fixture.coords(spark, d, SURFACE_FRAMES)), radii).select("system_id", "frame_id", _r("sasa"))
+    return distance.sasa_kernel(frames.wide_frames(fixture.coords(spark, d)), radii).select("system_id", "frame_id", _r("sasa"))
 
 
 # ---- modes and clusters ----

@@ -4,7 +4,7 @@ import pytest
 
 from kinetrace.functions.selection import SelectionError, predicate, select
 from kinetrace.operators import distance, frames, imaging, modes, series, superposition
-from kinetrace.plans import registry
+from kinetrace.plans import fixture, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,31 @@ def test_surface_of_one_atom():
     assert distance._frame_area(np.zeros((1, 3)), np.array([3.1]), np.array(distance.sphere_points())) == pytest.approx(4 * np.pi * 3.1**2)
 
 
+def test_surface_of_all_frames(spark):
+    """Every frame by brute force over atoms and points; the SQL on the frames that it states."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    coords = fixture.coords(spark, SF).toPandas().sort_values(["frame_id", "atom_idx"])
+    radius = np.array([{"H": 1.2, "N": 1.55, "O": 1.52, "C": 1.7}[fixture.ELEMENTS[i % 5]] + 1.4 for i in range(fixture.N_ATOMS)])
+    sphere, want = np.array(distance.sphere_points()), {}
+    for (system, frame), g in coords.groupby(["system_id", "frame_id"]):
+        xyz = g[["x", "y", "z"]].to_numpy()
+        points = xyz[:, None] + radius[:, None, None] * sphere
+        inside = ((points[:, :, None] - xyz) ** 2).sum(axis=3) < radius**2
+        inside[np.arange(len(xyz)), :, np.arange(len(xyz))] = False
+        want[system, frame] = 4 * np.pi * radius**2 * (~inside.any(axis=2)).mean(axis=1)
+    atom = registry.QUERIES["sasa_atom"](spark, SF).toPandas()
+    assert len(atom) == fixture.N_ATOMS * len(want) == len(coords)
+    assert np.allclose(atom["sasa"], [want[s, f][a] for s, f, a in zip(atom["system_id"], atom["frame_id"], atom["atom_idx"])], atol=2e-6)
+    for name in ("sasa_frame", "sasa_kernel"):
+        got = registry.QUERIES[name](spark, SF).toPandas()
+        assert {*zip(got["system_id"], got["frame_id"])} == {*want} and len(got) == len(want)
+        assert np.allclose(got["sasa"], [want[k].sum() for k in zip(got["system_id"], got["frame_id"])], atol=2e-6)
+        sql = {(r[0], r[1]): r[2] for r in con.sql(f"SELECT system_id, frame_id, sasa FROM ({registry.ORACLES[name]})").fetchall()}
+        got = {(r.system_id, r.frame_id): r.sasa for r in got.itertuples() if r.frame_id <= max(f for _, f in sql)}
+        assert got == pytest.approx(sql, abs=2e-6)
+
+
 def test_pca_driven_mode(spark):
     rng = np.random.default_rng(1)
     cubes = rng.normal(scale=0.02, size=(60, 3, 3))
