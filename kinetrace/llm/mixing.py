@@ -7,83 +7,88 @@ takes the released block with the earliest deadline. After any number of slots t
 source has placed between w t - 1 and w t + 1 blocks (strictly). When a source has no block left,
 the phase ends and the others share the weight in proportion. Every row gets exactly one place.
 
-Shares are multiples of 1 / units, so a phase repeats one period. Only that period is scheduled on
-the driver: its size depends on the number of sources and on units, not on the rows.
+Weights are taken exactly: floats are fractions, and releases and deadlines come from integers. The
+blocks are scheduled on the driver one after another, in pieces of at most PIECE_SLOTS that are
+written before the next one starts: its time grows with the blocks, its memory with the sources only.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.common import Scratch, blocks_for, group_ranks, stable_hash
 
-BLOCK_ROWS, UNITS = 16, 1000
+BLOCK_ROWS = 16
+#: The driver holds this many slots at once; a row of the plan has up to CHUNK blocks of a source.
+PIECE_SLOTS, CHUNK = 250_000, 1024
 #: The plan is broadcast up to this many slots; beyond, it is joined by a shuffle.
-BROADCAST_SLOTS = 4_000_000
-PLAN = "_source string, phase int, first long, n long, share int, period int, start long, offsets array<int>"
+BROADCAST_SLOTS = 2_000_000
+PLAN = pa.schema([("_plan_source", pa.string()), ("_plan_chunk", pa.int64()), ("_plan_first", pa.int64()), ("_plan_phase", pa.list_(pa.int32())), *((f"_plan_{c}", pa.list_(pa.int64())) for c in ("slot", "release", "deadline"))])
 
 
-def quantised(weights: Mapping[str, float], units: int = UNITS) -> dict[str, int]:
-    """Positive integers that add up to max(units, 10 x sources), by largest remainders."""
-    units = max(units, 10 * len(weights))
-    total = sum(weights.values())
-    spare = units - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))[: units - sum(out.values())]:
-        out[s] += 1
-    return out
+def whole(weights: Mapping[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
-def period(shares: Mapping[str, int]) -> list[str]:
-    """One period of the earliest-deadline-first schedule: the source of each slot."""
+def earliest_deadline(shares: Mapping[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """The schedule without an end: source, number from 1, release and deadline of each slot's block."""
     total = sum(shares.values())
-    deadline = lambda s, j: -(-j * total // shares[s])
     waiting = [(0, s, 1) for s in sorted(shares)]
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(total):
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, j), s, j))
-        _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j < shares[s]:
-            heapq.heappush(waiting, (j * total // shares[s], s, j + 1))
-    return out
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-j * total // shares[s]), s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
+        yield s, j, release, deadline
+        heapq.heappush(waiting, (j * total // shares[s], s, j + 1))
+        slot += 1
+
+
+def period(shares: Mapping[str, int]) -> list[str]:
+    """The source of each slot until the schedule of these shares repeats itself."""
+    return [s for s, *_ in islice(earliest_deadline(shares), sum(shares.values()))]
 
 
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], units: int = UNITS) -> list[tuple]:
-    """Rows of PLAN: for each phase and source, which blocks it places and where in the period."""
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """Source, phase, block, slot, release and deadline of every block, in the order of slots."""
     left = {s: n for s, n in blocks.items() if n > 0}
     used = dict.fromkeys(left, 0)
-    plan, start, phase = [], 0, 0
+    start = phase = 0
     while left:
-        shares = quantised({s: weights[s] for s in left}, units)
-        order = period(shares)
-        offsets: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            offsets[s].append(slot)
-        whole = min((n - 1) // shares[s] for s, n in left.items())
-        taken = {s: whole * shares[s] for s in left}
-        length = whole * len(order)
-        for s in order:  # as far as the first source that runs dry
-            taken[s] += 1
-            length += 1
-            if taken[s] == left[s]:
+        taken = dict.fromkeys(left, 0)
+        for slot, (s, j, release, deadline) in enumerate(earliest_deadline(whole({s: weights[s] for s in left})), start):
+            yield s, phase, used[s] + j - 1, slot, start + release, start + deadline
+            taken[s] = j
+            if j == left[s]:
                 break
-        for s in left:
-            if taken[s]:
-                plan.append((s, phase, used[s], taken[s], shares[s], len(order), start, offsets[s]))
-            used[s] += taken[s]
+        for s, n in taken.items():
+            used[s] += n
         left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
-        start, phase = start + length, phase + 1
-    return plan
+        start, phase = slot + 1, phase + 1
+
+
+def plan_table(placed: Iterable[tuple]) -> pa.Table:
+    """Rows of PLAN: consecutive blocks of a source, none across a multiple of CHUNK."""
+    rows: dict[tuple[str, int], tuple] = {}
+    for s, phase, block, *times in placed:
+        row = rows.setdefault((s, block // CHUNK), (block, [], [], [], []))
+        for values, x in zip(row[1:], (phase, *times)):
+            values.append(x)
+    columns = list(zip(*((*key, *row) for key, row in rows.items()))) or [()] * len(PLAN)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, PLAN)], schema=PLAN)
 
 
 def tempered(rows: Mapping[str, int], exponent: float = 0.5) -> dict[str, float]:
@@ -105,29 +110,39 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
     # "=" before a name keeps a missing source apart from any that is named
     docs = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     docs = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if "text" in docs.columns else F.lit(0).cast("long"))
-    narrow = Scratch(spark).keep(docs.groupBy("_source").agg(F.count(F.lit(1)).alias("n")), "mix_counts")
+    scratch = Scratch(spark)
+    narrow = scratch.keep(docs.groupBy("_source").agg(F.count(F.lit(1)).alias("n")), "mix_counts")
     rows = {r["_source"]: r["n"] for r in narrow.collect()}
     wanted = tempered(rows) if weights is None else {"" if s is None else f"={s}": float(w) for s, w in weights.items()}
-    missing = [s for s in rows if not wanted.get(s, 0) > 0]
+    missing = [s for s in rows if not 0 < wanted.get(s, 0) < math.inf]
     if missing:
         raise ValueError(f"no positive weight for the sources {missing[:5]}")
-    plan = schedule({s: -(-n // block_rows) for s, n in rows.items()}, wanted)
-    table = spark.createDataFrame(plan, PLAN)
-    if sum(len(p[7]) for p in plan) <= BROADCAST_SLOTS:
+    blocks = {s: -(-n // block_rows) for s, n in rows.items()}
+    table = _plan(scratch, schedule(blocks, wanted))
+    if sum(blocks.values()) <= BROADCAST_SLOTS:
         table = F.broadcast(table)
     docs = docs.withColumn("_h", stable_hash(seed, "doc_id", "_key"))
     ranked = group_ranks(docs, ["_source"], "_h", ["doc_id", "_key"], blocks_for(max(rows.values(), default=0)), "_r")
     ranked = ranked.withColumn("block", F.floor(F.col("_r") / block_rows).cast("long")).withColumn("in_block", (F.col("_r") % block_rows).cast("int"))
-    placed = ranked.join(table.withColumnRenamed("_source", "_plan_source"), (F.col("_source") == F.col("_plan_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("n")))
-    k = F.col("block") - F.col("first")
-    j = F.expr("(block - first) % share")
-    slot = F.col("start") + F.expr("(block - first) div share") * F.col("period") + F.element_at("offsets", (j + 1).cast("int"))
-    out = placed.withColumn("slot", slot.cast("long"))
-    out = out.withColumn("release", (F.col("start") + F.expr("((block - first) * period) div share")).cast("long"))
-    out = out.withColumn("deadline", (F.col("start") - F.floor(-(k + 1) * F.col("period") / F.col("share"))).cast("long"))
+    at = F.col("block") - F.col("_plan_first")
+    chunk = F.floor(F.col("block") / CHUNK).cast("long")
+    placed = ranked.join(table, (F.col("_source") == F.col("_plan_source")) & (chunk == F.col("_plan_chunk")) & (at >= 0) & (at < F.size("_plan_slot")))
+    out = placed.select("*", *[F.element_at(f"_plan_{c}", (at + 1).cast("int")).alias(c) for c in ("phase", "slot", "release", "deadline")])
     return out.select(*[c for c in docs.columns if c not in ("_source", "_h", "_key")], *names)
 
 
+def _plan(scratch: Scratch, placed: Iterator[tuple]) -> DataFrame:
+    """The table of PLAN; all but a single piece go to the scratch folder."""
+    spark, path, piece = scratch.spark, f"{scratch.root}/mix_plan", list(islice(placed, PIECE_SLOTS))
+    table = spark.createDataFrame(plan_table(piece))
+    if len(piece) < PIECE_SLOTS:
+        return table
+    while piece:
+        spark.createDataFrame(plan_table(piece)).write.mode("append").parquet(path)
+        piece = list(islice(placed, PIECE_SLOTS))
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def digest(documents: DataFrame) -> DataFrame:
     narrow = documents.select("doc_id", "source", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
     return mix(narrow).drop("text_key")

@@ -141,6 +141,32 @@ def test_mixing(docs, rows, none):
         assert all(abs(order[:t].count(s) - w * t / 10) < 1 for t in range(11))
 
 
+def test_mixing_keeps_to_the_given_weights():
+    """Less than one block off at every slot of the first phase, however long; each block once."""
+    even = {f"s{k:02}": 500_000 * 2 // 57 for k in range(19)}
+    for rows, weights in (({"hot": 166_666} | even, None), ({"big": 400_000} | {f"t{k}": 16_000 for k in range(400)}, {"big": 400.0} | {f"t{k}": 1.0 for k in range(400)})):
+        blocks, weights = {s: -(-n // 16) for s, n in rows.items()}, weights or mixing.tempered(rows)
+        share = {s: w / sum(weights.values()) for s, w in weights.items()}
+        placed, done, worst = list(mixing.schedule(blocks, weights)), dict.fromkeys(rows, 0), 0.0
+        assert [p[3] for p in placed] == list(range(sum(blocks.values())))
+        assert all(release <= slot < deadline for _, _, _, slot, release, deadline in placed)
+        for s, phase, block, slot, _, _ in placed:
+            assert block == done[s]
+            if phase == 0:  # a source is furthest off just before and just after its own blocks
+                worst = max(worst, abs(done[s] - share[s] * slot), abs(done[s] + 1 - share[s] * (slot + 1)))
+            done[s] += 1
+        assert done == blocks and worst < 1 + 1e-6
+
+
+def test_mixing_in_pieces(docs, monkeypatch):
+    weights = {"s0": 5, "s1": 3, "s2": 1, None: 2}
+    names = ["doc_id", "source", "block", "phase", "slot", "in_block", "release", "deadline"]
+    want = Counter(map(tuple, mixing.mix(docs, weights, block_rows=1).select(names).collect()))
+    for name, value in (("PIECE_SLOTS", 7), ("CHUNK", 3), ("BROADCAST_SLOTS", 0)):
+        monkeypatch.setattr(mixing, name, value)
+    assert Counter(map(tuple, mixing.mix(docs, weights, block_rows=1).select(names).collect())) == want
+
+
 def test_learned_operators_on_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(17)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     for out in (toxicity.digest(docs, labels), toxicity.digest(docs, labels.where("false")), language.digest(docs), quality.digest(docs)):
