@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from kinetrace.llm.common import Scratch, stable_hash
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the constant first) by Newton steps with a ridge."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, weights with the constant first) by Newton steps with a ridge; row i counts n[i] times."""
+    n = np.ones(len(x)) if n is None else n
+    mean = np.average(x, axis=0, weights=n)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=n))
     scale[scale == 0] = 1.0
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(z.shape[1])
@@ -19,7 +21,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         penalty = np.full(len(w), ridge)
         penalty[0] = 1e-6
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (n * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

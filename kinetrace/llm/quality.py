@@ -4,9 +4,10 @@ Each labeller reads simple counts of a text and votes low (0), high (1) or absta
 labellers overlap and disagree; expectation-maximisation over the counts of all vote patterns
 estimates their accuracies and the share of good texts, without any true label, and gives each
 pattern a posterior. The posteriors are the training labels of a linear scorer over hashed word and
-word-shape features: one pass over all documents sums its weights, so nothing is sampled, and
-whatever the number of documents, the driver holds patterns (at most 3 ** labellers) and
-2 ** FEATURE_BITS weights.
+word-shape features: one pass over all documents sums its weights, another one sums scores and
+posteriors in BINS bins of the score, to which the calibration is fitted. Nothing is sampled, and
+whatever the number of documents, the driver holds patterns (at most 3 ** labellers),
+2 ** FEATURE_BITS weights and BINS bins.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrace.llm.common import U64, PrefixHash, Scratch, Words, text_chunks
-from kinetrace.llm.learning import fit_logistic, hash_share
+from kinetrace.llm.learning import fit_logistic
 
 FEATURE_BITS, PIECES = 16, 16
 ROUNDS = 200
-#: Rows whose mean weights calibrate the score.
-CALIBRATION_ROWS = 5_000
+#: Bins of equal width between the least and the greatest weight, for the calibration.
+BINS = 1 << 14
 LOW, HIGH, ABSTAIN = 0, 1, 2
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -195,16 +196,23 @@ def fit(documents: DataFrame) -> QualityModel:
     model = QualityModel(table, weights, (0.0, 1.0))
     shared_model = spark.sparkContext.broadcast(model)
 
+    least, width = float(weights.min()), max(float(np.ptp(weights)), 1e-9) / BINS
+
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, BINS))
         for batch in batches:
             for _, _, raw, offsets in text_chunks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shared_model.value.raw_scores(raw, offsets)), pa.array(targets(raw, offsets))], names=["x", "p"])
-
-    chosen = texts.where(hash_share("key", CALIBRATION_ROWS, int(sum(r["n"] for r in rows)))).select("text")
-    sample = chosen.mapInArrow(calibrate, "x double, p double").collect()
-    if sample:
-        x, p = np.array([r["x"] for r in sample]), np.array([r["p"] for r in sample])
-        mean, scale, w = fit_logistic(x[:, None], p)
+                x = shared_model.value.raw_scores(raw, offsets)
+                place = np.clip((x - least) / width, 0, BINS - 1).astype(np.int64)
+                for k, values in enumerate((None, x, targets(raw, offsets))):
+                    total[k] += np.bincount(place, weights=values, minlength=BINS)
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["bin", "n", "x", "p"])
+
+    bins = texts.select("text").mapInArrow(calibrate, "bin long, n double, x double, p double").groupBy("bin").agg(*[F.sum(c).alias(c) for c in "nxp"]).orderBy("bin").collect()
+    if bins:
+        n, x, p = (np.array([r[c] for r in bins]) for c in "nxp")
+        mean, scale, w = fit_logistic((x / n)[:, None], p / n, n=n)
         model.calibration = (float(w[0] - w[1] * mean[0] / scale[0]), float(w[1] / scale[0]))
     return model
 

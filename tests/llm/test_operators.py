@@ -176,6 +176,19 @@ def test_learned_operators_on_odd_rows(spark, docs, none):
     assert toxicity.digest(none, labels).count() == language.digest(none).count() == quality.digest(none).count() == 0
 
 
+def test_quality_calibrates_on_all_rows(spark):
+    rng = random.Random(9)
+    junk = lambda: "".join(rng.choice("$%#@ABC xyz1") for _ in range(rng.randrange(5, 90)))
+    prose = lambda: "The " + words(rng, rng.randrange(5, 40)) + ". " + junk()[:12]
+    texts = ["The one text that many rows share, and it has a few more words. It ends here."] * 2500 + [f() for f in (junk, prose) for _ in range(2500)]
+    model = quality.fit(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    raw, offsets = np.concatenate(raw), np.cumsum([0] + [len(r) for r in raw])
+    x, p = model.raw_scores(raw, offsets), np.array([model.posterior[c] for c in quality.codes(quality.votes(raw, offsets)).tolist()])
+    mean, scale, w = quality.fit_logistic(x[:, None], p)
+    assert model.calibration == pytest.approx((w[0] - w[1] * mean[0] / scale[0], w[1] / scale[0]), rel=1e-3)
+
+
 def test_automaton_equals_edit_distance():
     rng = random.Random(2)
     terms = [("idiot", False, 2.0), ("scum", False, 1.0), ("abab", True, 1.5), ("trash", False, 3.0)]
