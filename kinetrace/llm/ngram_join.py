@@ -14,15 +14,25 @@ only table broadcast whole. Any order gives the same links; a good one gives few
 
 Groups of near copies never become all pairs. Each class is first compared with the one hub with
 which it shares most postings; found links merge components, and only postings that still hold
-different components go on. What remains is joined across components, never within one, so no
-link that could merge two components is missed. All of these are joins and counts on tables in
-the shared folder; a hot shingle is a skewed join that can be split, not a group in one task.
+different components go on. Where a shingle still holds many components, each class meets a few
+random neighbours among the classes of two of its shingles, in blocks of bounded size; the rounds go
+on while they merge components. A group in
+which only a tenth of the pairs are links is one component after a few rounds, with work in
+proportion to its members. What remains is joined across components, never within one, and only on
+shingles early enough in both prefixes for sets of these two sizes, so no link that could merge
+two components is missed. All of these are joins and counts on tables in the shared folder; a hot
+shingle is a skewed join that can be split, not a group in one task.
+
+Classes are told apart by 128 bits: should two of them share the 64 bits of their key, all is keyed
+anew under another seed.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +46,12 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of at least 4/5
 MAX_MATCHES = 4
 SKETCH_BITS, PIECES = 20, 64
-HUB_PASSES = 2
+HUB_PASSES = 1
+#: Shingles that still hold this many components are mixed by rounds of random neighbours, which end
+#: when one merges less than this share of the components that it met, or after so many.
+HOT_COMPONENTS, ROUND_YIELD, ROUNDS = 12, 0.1, 12
+#: Classes of one shingle met in one place, and the neighbours that each is compared with there.
+BLOCK_CLASSES, NEIGHBOURS = 64, 16
 #: Share of a prefix that a class has in common with its hub when they are compared.
 HUB_SHARE = 0.4
 #: Classes whose texts are looked up by a broadcast of their keys (16 bytes each); more: a shuffle.
@@ -75,7 +90,12 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def class_keys(h: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit key of each row's set of shingles; another family of keys for each seed."""
+    return _sums(mix64(h ^ U64(seed * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)), sizes)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the partition's sketch in pieces."""
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     names = ["doc_id", "tkey", "n", "k1", "k2", "piece", "counts"]
@@ -85,8 +105,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             _, h, sizes = shingle_sets(raw, offsets)
             sketch += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             n.append(sizes)
-            k1.append(_sums(mix64(h), sizes))
-            k2.append(_sums(mix64(h ^ U64(0x5851F42D4C957F2D)), sizes))
+            k1.append(class_keys(h, sizes, 2 * seed))
+            k2.append(class_keys(h, sizes, 2 * seed + 1))
         rows = len(batch)
         if rows:
             cols = [np.concatenate(x).view(np.int64) for x in (n, k1, k2)]
@@ -114,11 +134,8 @@ def merged_sketch(pieces: DataFrame) -> np.ndarray:
     return np.minimum(out, (1 << 23) - 1).astype(np.uint32)
 
 
-def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles in global order (by row), their order keys, prefix length and matches asked of each row.
-
-    The order is by the cell's count, then by hash; the key packs the count and the hash's high bits.
-    """
+def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles in global order (by row; by the cell's count, then by hash), prefix length and matches asked of each row."""
     freq = counts[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((h, freq, row))
     h, freq = h[order], freq[order]
@@ -134,42 +151,40 @@ def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, counts: np.ndarr
         cost = postings * (COST_SCAN + COST_VERIFY / l) + COST_TOKEN * p
         better = (cost < best) & ((need >= l) | (l == 1))
         best, length, matches = np.where(better, cost, best), np.where(better, p, length), np.where(better, l, matches)
-    key = (freq << 40) | (h >> U64(24)).astype(np.int64)
-    return h, key, length, matches
+    return h, length, matches
 
 
-def _prefix_rows(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(k1, n, l, p, last, prefix) of each class of a chunk: last is the order key that ends the prefix."""
+def _prefix_rows(documents: DataFrame, counts: np.ndarray, seed: int) -> DataFrame:
+    """(k1, n, l, p, prefix) of each class of a chunk."""
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in text_chunks(batch.column(0)):
                 row, h, sizes = shingle_sets(raw, offsets)
-                k1 = _sums(mix64(h), sizes).view(np.int64)
-                ordered, key, length, matches = prefixes(row, h, sizes, shared.value)
+                k1 = class_keys(h, sizes, 2 * seed).view(np.int64)
+                ordered, length, matches = prefixes(row, h, sizes, shared.value)
                 start = np.cumsum(sizes) - sizes
                 _, first = np.unique(k1, return_index=True)
                 first = first[sizes[first] > 0]
                 binary = [ordered[start[r] : start[r] + length[r]].tobytes() for r in first.tolist()]
                 ints = [pa.array(x[first].astype(np.int32)) for x in (sizes, matches, length)]
-                last = key[start[first] + length[first] - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), *ints, pa.array(last), pa.array(binary, pa.binary())], names=["k1", "n", "l", "p", "last", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), *ints, pa.array(binary, pa.binary())], names=["k1", "n", "l", "p", "prefix"])
 
-    return documents.select("text").mapInArrow(run, "k1 long, n int, l int, p int, last long, prefix binary")
+    return documents.select("text").mapInArrow(run, "k1 long, n int, l int, p int, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, k1, n, pos): pos is the shingle's place in the class's prefix, from 1."""
+    """(token, k1, n, l, pos): pos is the shingle's place in the class's prefix, from 1."""
     for batch in batches:
         step = 1000
         for lo in range(0, len(batch), step):
             part = batch.slice(lo, step)
-            tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(2).to_pylist()]
+            tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(3).to_pylist()]
             times = [len(x) for x in tokens]
-            cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), times)) for i in range(2)]
+            cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), times)) for i in range(3)]
             pos = np.concatenate([np.arange(1, t + 1, dtype=np.int32) for t in times])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *cols, pa.array(pos)], names=["token", "k1", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *cols, pa.array(pos)], names=["token", "k1", "n", "l", "pos"])
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +222,13 @@ class NearDuplicates:
     def __init__(self, documents: DataFrame):
         self.scratch = Scratch(documents.sparkSession)
         keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
-        first = self.scratch.keep(keyed.mapInArrow(_fingerprints, "doc_id long, tkey long, n long, k1 long, k2 long, piece int, counts binary"), "first")
-        self.rows = first.where("piece is null").select("doc_id", "tkey", "n", "k1", "k2")
+        for seed in count():
+            first = self.scratch.keep(keyed.mapInArrow(partial(_fingerprints, seed=seed), "doc_id long, tkey long, n long, k1 long, k2 long, piece int, counts binary"), f"first_{seed}")
+            rows = first.where("piece is null").select("doc_id", "tkey", "n", "k1", "k2")
+            if not rows.groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x != y").limit(1).count():
+                break
+        self.rows, self.keyed, self.seed = rows.drop("k2"), keyed, seed
         counts = merged_sketch(first.where("piece is not null").select("piece", "counts"))
-        self.keyed = keyed
         self.roots = self._link(counts)
 
     def _texts(self, classes: DataFrame, name: str) -> DataFrame:
@@ -222,34 +240,49 @@ class NearDuplicates:
         return self.scratch.keep(found.dropDuplicates(["k1"]).select("k1", "text"), name)
 
     def _link(self, counts: np.ndarray) -> DataFrame:
+        """(k1, root) of the classes that share a prefix shingle with another one."""
         keep = self.scratch.keep
-        columns = [F.first(c).alias(c) for c in ("n", "l", "p", "last", "prefix")]
-        classes = keep(_prefix_rows(self.keyed, counts).groupBy("k1").agg(*columns), "classes")
-        postings = classes.select("k1", "n", "prefix").mapInArrow(_postings, "token long, k1 long, n int, pos int")
+        columns = [F.first(c).alias(c) for c in ("n", "l", "p", "prefix")]
+        classes = keep(_prefix_rows(self.keyed, counts, self.seed).groupBy("k1").agg(*columns), "classes")
+        postings = classes.select("k1", "n", "l", "prefix").mapInArrow(_postings, "token long, k1 long, n int, l int, pos int")
         repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
         live = keep(postings.join(repeated, "token").withColumn("comp", F.col("k1")), "live_0")
-        ends = classes.select("k1", "n", "l", "p", "last")
         roots = keep(live.select("k1", F.col("k1").alias("root")).distinct(), "roots_0")
         step = 0
-        while True:
-            complete = step == HUB_PASSES
-            pairs = keep(_cross_pairs(live, ends) if complete else _hub_pairs(live, ends, step), f"pairs_{step}")
-            texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), f"texts_{step}")
-            links = keep(_verify(pairs, texts), f"links_{step}")
-            self.scratch.drop(f"pairs_{step}", f"texts_{step}")
-            found = links.limit(1).count() > 0
-            if found:
-                edges = links.join(roots.select(F.col("k1").alias("u"), F.col("root").alias("cu")), "u").join(roots.select(F.col("k1").alias("v"), F.col("root").alias("cv")), "v")
-                merged = connected_components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), self.scratch, f"cc_{step}")
-                moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-                roots = keep(roots.join(moved, "root", "left").select("k1", F.coalesce("to", "root").alias("root")), f"roots_{step + 1}")
-            if complete:
-                return roots
-            if found:  # only postings that still hold more than one component go on
-                placed = live.drop("comp").join(roots.select("k1", F.col("root").alias("comp")), "k1")
-                mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-                live = keep(placed.join(mixed, "token").select("token", "k1", "n", "pos", "comp"), f"live_{step + 1}")
+        while step < HUB_PASSES:
+            found, roots, live = self._pass(_hub_pairs(live, classes.select("k1", "p"), step), roots, live, step)
             step = step + 1 if found else HUB_PASSES
+        for turn in range(ROUNDS):
+            hot = live.groupBy("token").agg(F.countDistinct("comp").alias("k"), F.count(F.lit(1)).alias("c")).where(F.col("k") >= HOT_COMPONENTS).select("token", "c")
+            crowded = keep(live.join(hot, "token"), f"hot_{turn}")
+            met = crowded.agg(F.count_distinct("comp")).first()[0]
+            if not met:
+                break
+            found, roots, live = self._pass(_neighbour_pairs(crowded, turn), roots, live, HUB_PASSES + turn)
+            self.scratch.drop(f"hot_{turn}")
+            if found < ROUND_YIELD * met:
+                break
+        return self._pass(_cross_pairs(live), roots, None, HUB_PASSES + ROUNDS)[1]
+
+    def _pass(self, candidates: DataFrame, roots: DataFrame, live: DataFrame | None, step: int) -> tuple[int, DataFrame, DataFrame]:
+        """Verify candidates and merge components: how many were merged, the new roots, and the
+        postings of the shingles that still hold more than one component."""
+        keep = self.scratch.keep
+        pairs = keep(candidates, f"pairs_{step}")
+        texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), f"texts_{step}")
+        links = keep(_verify(pairs, texts), f"links_{step}")
+        self.scratch.drop(f"pairs_{step}", f"texts_{step}", f"texts_{step}_keys")
+        found = 0
+        if links.limit(1).count():
+            edges = links.join(roots.select(F.col("k1").alias("u"), F.col("root").alias("cu")), "u").join(roots.select(F.col("k1").alias("v"), F.col("root").alias("cv")), "v")
+            moved = keep(connected_components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), self.scratch, f"cc_{step}").where("node != root").select(F.col("node").alias("root"), F.col("root").alias("to")), f"moved_{step}")
+            found = moved.count()
+            roots = keep(roots.join(moved, "root", "left").select("k1", F.coalesce("to", "root").alias("root")), f"roots_{step + 1}")
+            if live is not None and found:
+                placed = live.withColumnRenamed("comp", "root").join(moved, "root", "left").withColumn("comp", F.coalesce("to", "root"))
+                mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
+                live = keep(placed.join(mixed, "token").select("token", "k1", "n", "l", "pos", "comp"), f"live_{step + 1}")
+        return found, roots, live
 
     def digest(self) -> DataFrame:
         """doc_id, n_shingles, component_id, and root (which names the component of rows without id)."""
@@ -279,26 +312,38 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
 
 
-def _cross_pairs(live: DataFrame, ends: DataFrame) -> DataFrame:
+def _neighbour_pairs(crowded: DataFrame, turn: int) -> DataFrame:
+    """Each class with a few others, of other components, that share one of two of its shingles.
+
+    The two shingles are the class's least under two hashes, so near copies often choose the same.
+    The classes of a shingle (c of them hold it) stand in an order that changes by turn, cut into
+    blocks; each is paired with the next few in its block.
+    """
+    least = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "token").alias("o"), "token", "c")).alias(f"s{seed}")
+    chosen = crowded.groupBy("k1").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), least(2 * turn), least(2 * turn + 1))
+    places = chosen.select("k1", "n", "comp", F.explode(F.array_distinct(F.array(f"s{2 * turn}", f"s{2 * turn + 1}"))).alias("s"))
+    order = F.xxhash64(F.lit(-1 - turn), "k1")
+    block = F.floor((order.cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("s.c") / F.lit(BLOCK_CLASSES)))
+    listed = places.groupBy(F.col("s.token").alias("token"), block.alias("block")).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "k1", "n", "comp"))).alias("row")).where(F.size("row") > 1)
+    one = listed.select("row", F.posexplode("row").alias("at", "x"))
+    both = one.select("x", F.explode(F.slice("row", F.col("at") + 2, F.lit(NEIGHBOURS))).alias("y")).where((F.col("x.comp") != F.col("y.comp")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
+    return both.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
+
+
+def _cross_pairs(live: DataFrame) -> DataFrame:
     """All candidates across components.
 
-    c shared prefix shingles, the last of them at places i and j. A set whose prefix ends first
-    has its whole prefix within reach of the other's; else what comes before its last shared
-    shingle is. Of the shingles within reach, those not shared are at most n minus the overlap
-    that the similarity takes: overlap >= t / (1 + t) * (n_a + n_b), that is 4/9.
+    Sets of sizes n_a and n_b that link share at least o = 4/9 (n_a + n_b) shingles, so the first m
+    that they share stand among the first n - o + m of each. m is the smaller l of the two.
     """
     comps = live.select("token", "comp").distinct()
     across = comps.select("token", F.col("comp").alias("ca")).join(comps.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    side = lambda x: live.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"i{x}"))
-    met = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    end = lambda x: ends.select(F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l", "p", "last")])
-    full = counted.join(end("a"), "a").join(end("b"), "b")
+    side = lambda x: live.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l", "pos")])
     overlap = F.expr(f"({NUMERATOR} * (na + nb) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
-    reach_a = F.when(F.col("lasta") < F.col("lastb"), F.col("pa")).otherwise(F.col("ia"))
-    reach_b = F.when(F.col("lastb") < F.col("lasta"), F.col("pb")).otherwise(F.col("ib"))
-    fits = (F.col("c") >= F.least("la", "lb")) & (reach_a - F.col("c") <= F.col("na") - overlap) & (reach_b - F.col("c") <= F.col("nb") - overlap)
-    return full.where(fits).select("a", "b")
+    early = [F.col(f"pos{x}") <= F.col(f"n{x}") - overlap + F.least("la", "lb") for x in "ab"]
+    met = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")) & early[0] & early[1])
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least("la", "lb")).alias("m"))
+    return counted.where("c >= m").select("a", "b")
 
 
 def text_key() -> Column:
