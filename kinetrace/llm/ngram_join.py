@@ -49,7 +49,7 @@ SKETCH_BITS, PIECES = 20, 64
 HUB_PASSES = 1
 #: Shingles that still hold this many components are mixed by rounds of random neighbours, which end
 #: when one merges less than this share of the components that it met, or after so many.
-HOT_COMPONENTS, ROUND_YIELD, ROUNDS = 12, 0.1, 12
+HOT_COMPONENTS, ROUND_YIELD, ROUNDS = 12, 0.2, 12
 #: Classes of one shingle met in one place, and the neighbours that each is compared with there.
 BLOCK_CLASSES, NEIGHBOURS = 64, 16
 #: Share of a prefix that a class has in common with its hub when they are compared.
@@ -155,12 +155,12 @@ def prefixes(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, counts: np.ndarr
 
 
 def _prefix_rows(documents: DataFrame, counts: np.ndarray, seed: int) -> DataFrame:
-    """(k1, n, l, p, prefix) of each class of a chunk."""
+    """(k1, tkey, n, l, p, prefix) of each class of a chunk."""
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raw, offsets in text_chunks(batch.column(0)):
+            for lo, hi, raw, offsets in text_chunks(batch.column(1)):
                 row, h, sizes = shingle_sets(raw, offsets)
                 k1 = class_keys(h, sizes, 2 * seed).view(np.int64)
                 ordered, length, matches = prefixes(row, h, sizes, shared.value)
@@ -169,9 +169,9 @@ def _prefix_rows(documents: DataFrame, counts: np.ndarray, seed: int) -> DataFra
                 first = first[sizes[first] > 0]
                 binary = [ordered[start[r] : start[r] + length[r]].tobytes() for r in first.tolist()]
                 ints = [pa.array(x[first].astype(np.int32)) for x in (sizes, matches, length)]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), *ints, pa.array(binary, pa.binary())], names=["k1", "n", "l", "p", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), batch.column(0).slice(lo, hi - lo).take(pa.array(first)), *ints, pa.array(binary, pa.binary())], names=["k1", "tkey", "n", "l", "p", "prefix"])
 
-    return documents.select("text").mapInArrow(run, "k1 long, n int, l int, p int, prefix binary")
+    return documents.select("tkey", "text").mapInArrow(run, "k1 long, tkey long, n int, l int, p int, prefix binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,63 +231,54 @@ class NearDuplicates:
         counts = merged_sketch(first.where("piece is not null").select("piece", "counts"))
         self.roots = self._link(counts)
 
-    def _texts(self, classes: DataFrame, name: str) -> DataFrame:
-        """(k1, text) of one document of each of the classes."""
-        chosen = self.rows.where("n > 0").join(classes, "k1", "left_semi").groupBy("k1").agg(F.min("tkey").alias("tkey"))
-        chosen = self.scratch.keep(chosen, f"{name}_keys")
-        small = chosen.count() <= BROADCAST_CLASSES
-        found = self.keyed.select("tkey", "text").join(F.broadcast(chosen) if small else chosen, "tkey")
-        return self.scratch.keep(found.dropDuplicates(["k1"]).select("k1", "text"), name)
-
     def _link(self, counts: np.ndarray) -> DataFrame:
-        """(k1, root) of the classes that share a prefix shingle with another one."""
+        """(k1, root) of the classes that are linked with another one."""
         keep = self.scratch.keep
         columns = [F.first(c).alias(c) for c in ("n", "l", "p", "prefix")]
-        classes = keep(_prefix_rows(self.keyed, counts, self.seed).groupBy("k1").agg(*columns), "classes")
+        self.classes = classes = keep(_prefix_rows(self.keyed, counts, self.seed).groupBy("k1").agg(F.min("tkey").alias("tkey"), *columns), "classes")
         postings = classes.select("k1", "n", "l", "prefix").mapInArrow(_postings, "token long, k1 long, n int, l int, pos int")
-        repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-        live = keep(postings.join(repeated, "token").withColumn("comp", F.col("k1")), "live_0")
-        roots = keep(live.select("k1", F.col("k1").alias("root")).distinct(), "roots_0")
-        step = 0
-        while step < HUB_PASSES:
-            found, roots, live = self._pass(_hub_pairs(live, classes.select("k1", "p"), step), roots, live, step)
-            step = step + 1 if found else HUB_PASSES
-        for turn in range(ROUNDS):
-            hot = live.groupBy("token").agg(F.countDistinct("comp").alias("k"), F.count(F.lit(1)).alias("c")).where(F.col("k") >= HOT_COMPONENTS).select("token", "c")
-            crowded = keep(live.join(hot, "token"), f"hot_{turn}")
-            met = crowded.agg(F.count_distinct("comp")).first()[0]
-            if not met:
-                break
-            found, roots, live = self._pass(_neighbour_pairs(crowded, turn), roots, live, HUB_PASSES + turn)
-            self.scratch.drop(f"hot_{turn}")
-            if found < ROUND_YIELD * met:
+        repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        live = keep(postings.join(repeated, "token").withColumn("comp", F.col("k1")).withColumn("k", F.col("c")), "live_0")
+        roots, linked = None, 0
+        for step in range(HUB_PASSES + ROUNDS):
+            if step < HUB_PASSES:
+                candidates, met = _hub_pairs(live, classes.select("k1", "p"), step), None
+            else:
+                crowded = live.where(F.col("k") >= HOT_COMPONENTS)
+                met = crowded.agg(F.approx_count_distinct("comp")).first()[0]
+                if not met:
+                    break
+                candidates = _neighbour_pairs(crowded, step)
+            roots = self._merge(candidates, roots, step)
+            before, linked = linked, roots.where("k1 != root").count() if roots is not None else 0
+            if linked > before:
+                live = keep(_still_mixed(live, roots), f"live_{step + 1}")
+                self.scratch.drop(f"live_{step}")
+            if linked - before < ROUND_YIELD * (met or 1):
                 break
-        return self._pass(_cross_pairs(live), roots, None, HUB_PASSES + ROUNDS)[1]
-
-    def _pass(self, candidates: DataFrame, roots: DataFrame, live: DataFrame | None, step: int) -> tuple[int, DataFrame, DataFrame]:
-        """Verify candidates and merge components: how many were merged, the new roots, and the
-        postings of the shingles that still hold more than one component."""
-        keep = self.scratch.keep
-        pairs = keep(candidates, f"pairs_{step}")
-        texts = self._texts(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), f"texts_{step}")
-        links = keep(_verify(pairs, texts), f"links_{step}")
-        self.scratch.drop(f"pairs_{step}", f"texts_{step}", f"texts_{step}_keys")
-        found = 0
-        if links.limit(1).count():
-            edges = links.join(roots.select(F.col("k1").alias("u"), F.col("root").alias("cu")), "u").join(roots.select(F.col("k1").alias("v"), F.col("root").alias("cv")), "v")
-            moved = keep(connected_components(edges.select(F.col("cu").alias("u"), F.col("cv").alias("v")), self.scratch, f"cc_{step}").where("node != root").select(F.col("node").alias("root"), F.col("root").alias("to")), f"moved_{step}")
-            found = moved.count()
-            roots = keep(roots.join(moved, "root", "left").select("k1", F.coalesce("to", "root").alias("root")), f"roots_{step + 1}")
-            if live is not None and found:
-                placed = live.withColumnRenamed("comp", "root").join(moved, "root", "left").withColumn("comp", F.coalesce("to", "root"))
-                mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-                live = keep(placed.join(mixed, "token").select("token", "k1", "n", "l", "pos", "comp"), f"live_{step + 1}")
-        return found, roots, live
+        return self._merge(_cross_pairs(live), roots, HUB_PASSES + ROUNDS)
+
+    def _merge(self, candidates: DataFrame, roots: DataFrame | None, step: int) -> DataFrame | None:
+        """Verify candidates: the roots of all classes linked so far."""
+        pairs = self.scratch.keep(candidates, f"pairs_{step}")
+        number = pairs.count()
+        if not number:
+            return roots
+        keys = self.classes.select("k1", "tkey").join(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")), "k1", "left_semi")
+        if 2 * number <= BROADCAST_CLASSES:
+            keys = F.broadcast(keys)
+        texts = self.scratch.keep(self.keyed.select("tkey", "text").join(keys, "tkey").dropDuplicates(["k1"]).select("k1", "text"), f"texts_{step}")
+        links = self.scratch.keep(_verify(pairs, texts), f"links_{step}")
+        self.scratch.drop(f"pairs_{step}", f"texts_{step}")
+        if roots is not None:
+            links = links.union(roots.where("k1 != root").select("k1", "root"))
+        return self.scratch.keep(connected_components(links, self.scratch, f"cc_{step}").withColumnRenamed("node", "k1"), f"roots_{step}")
 
     def digest(self) -> DataFrame:
         """doc_id, n_shingles, component_id, and root (which names the component of rows without id)."""
         least = self.rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("least"))
-        placed = least.join(self.roots, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+        roots = least.select("k1", F.col("k1").alias("root")).limit(0) if self.roots is None else self.roots
+        placed = least.join(roots, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
         whole = placed.groupBy("root").agg(F.min("least").alias("component_id"))
         of_class = placed.select("k1", "root").join(whole, "root")
         out = self.rows.join(of_class, "k1", "left")
@@ -312,6 +303,13 @@ def _sizes_fit(n: Column, m: Column) -> Column:
     return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
 
 
+def _still_mixed(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings of the shingles that still hold several components: c classes, about k components."""
+    placed = live.drop("c", "k", "comp").join(roots, "k1", "left").withColumn("comp", F.coalesce("root", "k1")).drop("root")
+    counted = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.approx_count_distinct("comp", 0.2).alias("k"))
+    return placed.join(counted.where("x != y").drop("x", "y"), "token").select("token", "k1", "n", "l", "pos", "c", "comp", "k")
+
+
 def _neighbour_pairs(crowded: DataFrame, turn: int) -> DataFrame:
     """Each class with a few others, of other components, that share one of two of its shingles.
 
