@@ -16,11 +16,10 @@ Groups of near copies never become all pairs. Each class is first compared with
 which it shares most postings; found links merge components, and only postings that still hold
 different components go on. Where a shingle still holds many components, each class meets a few
 random neighbours among the classes of two of its shingles, in blocks of bounded size; the rounds go
-on while they merge components. A group in
-which only a tenth of the pairs are links is one component after a few rounds, with work in
-proportion to its members. What remains is joined across components, never within one, and only on
-shingles early enough in both prefixes for sets of these two sizes, so no link that could merge
-two components is missed. All of these are joins and counts on tables in the shared folder; a hot
+on while they merge many components. A group in which a tenth of the pairs are links is one
+component after a few rounds, with work in proportion to its members. What remains is joined across
+components, never within one, and only on shingles early enough in both prefixes for sets of these
+two sizes; so no link that could merge two components is missed. All of these are joins and counts on tables in the shared folder; a hot
 shingle is a skewed join that can be split, not a group in one task.
 
 Classes are told apart by 128 bits: should two of them share the 64 bits of their key, all is keyed
@@ -256,7 +255,15 @@ class NearDuplicates:
                 self.scratch.drop(f"live_{step}")
             if linked - before < ROUND_YIELD * (met or 1):
                 break
-        return self._merge(_cross_pairs(live), roots, HUB_PASSES + ROUNDS)
+        return self._merge(self._candidates(live), roots, HUB_PASSES + ROUNDS)
+
+    def _candidates(self, live: DataFrame) -> DataFrame:
+        """All candidates across components, by the whole prefixes of the pairs that met."""
+        met = self.scratch.keep(_cross_pairs(live), "met")
+        need = self.classes.join(_classes_of(met, met.count()), "k1", "left_semi")
+        side = lambda x: need.select(F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l", "prefix")])
+        full = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "la", "lb", "prefixa", "prefixb")
+        return full.mapInArrow(_prefix_matches, "a long, b long")
 
     def _merge(self, candidates: DataFrame, roots: DataFrame | None, step: int) -> DataFrame | None:
         """Verify candidates: the roots of all classes linked so far."""
@@ -264,7 +271,7 @@ class NearDuplicates:
         number = pairs.count()
         if not number:
             return roots
-        keys = self.classes.select("k1", "tkey").join(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")), "k1", "left_semi")
+        keys = self.classes.select("k1", "tkey").join(_classes_of(pairs, number), "k1", "left_semi")
         if 2 * number <= BROADCAST_CLASSES:
             keys = F.broadcast(keys)
         texts = self.scratch.keep(self.keyed.select("tkey", "text").join(keys, "tkey").dropDuplicates(["k1"]).select("k1", "text"), f"texts_{step}")
@@ -329,19 +336,38 @@ def _neighbour_pairs(crowded: DataFrame, turn: int) -> DataFrame:
 
 
 def _cross_pairs(live: DataFrame) -> DataFrame:
-    """All candidates across components.
+    """The pairs across components that share a shingle early enough in both prefixes.
 
-    Sets of sizes n_a and n_b that link share at least o = 4/9 (n_a + n_b) shingles, so the first m
-    that they share stand among the first n - o + m of each. m is the smaller l of the two.
+    Sets of sizes n_a and n_b that link share at least o = 4/9 (n_a + n_b) shingles, so the first
+    that they share stands among the first n - o + 1 of each.
     """
-    comps = live.select("token", "comp").distinct()
+    early = live.where(F.col("pos") <= F.col("n") - F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}") + 1)
+    comps = early.select("token", "comp").distinct()
     across = comps.select("token", F.col("comp").alias("ca")).join(comps.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    side = lambda x: live.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "l", "pos")])
+    side = lambda x: early.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "pos")])
     overlap = F.expr(f"({NUMERATOR} * (na + nb) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
-    early = [F.col(f"pos{x}") <= F.col(f"n{x}") - overlap + F.least("la", "lb") for x in "ab"]
-    met = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")) & early[0] & early[1])
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least("la", "lb")).alias("m"))
-    return counted.where("c >= m").select("a", "b")
+    met = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")) & (F.col("posa") <= F.col("na") - overlap + 1) & (F.col("posb") <= F.col("nb") - overlap + 1))
+    return met.select("a", "b").distinct()
+
+
+def _prefix_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that share as many prefix shingles as the smaller l of the two, and that leave no
+    more shingles unshared before the last of them than linked sets of these sizes can."""
+    for batch in batches:
+        a, b, na, nb, la, lb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        spare = -(-NUMERATOR * (na.astype(np.int64) + nb) // (NUMERATOR + DENOMINATOR))
+        keep = np.zeros(len(batch), dtype=bool)
+        for r, (x, y) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+            both, i, j = np.intersect1d(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), assume_unique=True, return_indices=True)
+            c = len(both)
+            keep[r] = c >= min(la[r], lb[r]) and i.max() + 1 - c <= na[r] - spare[r] and j.max() + 1 - c <= nb[r] - spare[r]
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def _classes_of(pairs: DataFrame, number: int) -> DataFrame:
+    """The keys of the classes of so many pairs (a, b), to be broadcast if they are few."""
+    keys = pairs.select(F.col("a").alias("k1")).union(pairs.select("b"))
+    return F.broadcast(keys) if 2 * number <= BROADCAST_CLASSES else keys
 
 
 def text_key() -> Column:
