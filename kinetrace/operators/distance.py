@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.functions.selection import vdw_radius
+from kinetrace.operators.frames import atom_key, small, system
 
 KEY = ["system_id", "frame_id"]
 PROBE, SPHERE_POINTS = 1.4, 96
@@ -45,20 +46,24 @@ def contacts(coords: DataFrame, cutoff: float) -> DataFrame:
 
 
 def donors(coords: DataFrame, atoms: DataFrame, frame_id: int = 0, xh_cutoff: float = 1.3) -> DataFrame:
-    """(donor, hydrogen): N or O and H atoms within the cutoff in one frame."""
-    frame = coords.where(F.col("frame_id") == frame_id).join(atoms.select("atom_idx", "element"), "atom_idx").select(*KEY, "atom_idx", "element", "x", "y", "z")
+    """(system_id, donor, hydrogen): N or O and H atoms within the cutoff in one frame of a system.
+
+    Without the column system_id they hold for every system.
+    """
+    frame = coords.where(F.col("frame_id") == frame_id).join(small(atoms.select(*atom_key(atoms), "element")), atom_key(atoms)).select(*KEY, "atom_idx", "element", "x", "y", "z")
     pairs = radius_join(frame.where(F.col("element").isin("N", "O")), frame.where("element = 'H'"), xh_cutoff)
-    return pairs.select(F.col("a_atom_idx").alias("donor"), F.col("b_atom_idx").alias("hydrogen"))
+    return pairs.select("system_id", F.col("a_atom_idx").alias("donor"), F.col("b_atom_idx").alias("hydrogen"))
 
 
 def hydrogen_bonds(coords: DataFrame, atoms: DataFrame, bonded: DataFrame, cutoff: float = 3.5, angle: float = 150.0) -> DataFrame:
     """n_hbonds of each frame (0 included): donor-acceptor distance below the cutoff, the angle at
     the hydrogen above `angle`; each hydrogen counts. Distance first, the angle on what is left."""
     points = coords.select(*KEY, "atom_idx", "x", "y", "z")
-    heavy = points.join(F.broadcast(atoms.where(F.col("element").isin("N", "O")).select("atom_idx")), "atom_idx").select(*KEY, "atom_idx", "x", "y", "z")
-    is_donor = heavy.join(F.broadcast(bonded.select("donor").distinct()), F.col("atom_idx") == F.col("donor"), "left_semi")
+    heavy = points.join(small(atoms.where(F.col("element").isin("N", "O")).select(*atom_key(atoms))), atom_key(atoms)).select(*KEY, "atom_idx", "x", "y", "z")
+    given = small(bonded.select(*system(bonded), F.col("donor").alias("a_atom_idx"), "hydrogen"))
+    is_donor = heavy.join(small(bonded.select(*system(bonded), F.col("donor").alias("atom_idx")).distinct()), atom_key(bonded), "left_semi")
     near = radius_join(is_donor, heavy, cutoff, inclusive=False).where("a_atom_idx <> b_atom_idx AND d > 1e-6")
-    with_h = near.join(F.broadcast(bonded), F.col("a_atom_idx") == F.col("donor"))
+    with_h = near.join(given, [*system(bonded), "a_atom_idx"])
     h = points.select(*KEY, F.col("atom_idx").alias("hydrogen"), *[F.col(x).alias(f"h_{x}") for x in "xyz"])
     full = with_h.join(h, [*KEY, "hydrogen"])
     u = {x: F.col(f"a_{x}") - F.col(f"h_{x}") for x in "xyz"}
@@ -85,8 +90,8 @@ def sasa_atoms(coords: DataFrame, atoms: DataFrame, probe: float = PROBE, n_poin
     A point on an atom's expanded sphere is buried when it lies strictly inside another atom's.
     Only the given atoms occlude.
     """
-    radius = atoms.select("atom_idx", (vdw_radius() + probe).alias("r"))
-    points = coords.join(F.broadcast(radius), "atom_idx").select(*KEY, "atom_idx", "x", "y", "z", "r")
+    radius = atoms.select(*atom_key(atoms), (vdw_radius() + probe).alias("r"))
+    points = coords.join(small(radius), atom_key(atoms)).select(*KEY, "atom_idx", "x", "y", "z", "r")
     reach = 2 * (max([1.98, 2.75, 2.31]) + probe)
     pairs = radius_join(points, points, reach, inclusive=False).where("a_atom_idx <> b_atom_idx AND d < a_r + b_r")
     sphere = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.lit(x).alias("sx"), F.lit(y).alias("sy"), F.lit(z).alias("sz")) for i, (x, y, z) in enumerate(sphere_points(n_points))]))

@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Topologies, references and other tables of one row an atom are broadcast up to so many rows.
+BROADCAST_ROWS = 2_000_000
 UNITS = {"ps": 1.0, "ns": 1e-3, "fs": 1e3, "us": 1e-6}
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df marked for a broadcast, if it is counted and found small enough; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def system(table: DataFrame) -> list[str]:
+    """["system_id"], or nothing: a table without that column holds for every system."""
+    return ["system_id"] if "system_id" in table.columns else []
+
+
+def atom_key(table: DataFrame) -> list[str]:
+    """The columns that an atom of the table is known by."""
+    return [*system(table), "atom_idx"]
+
+
 def long_coords(frames: DataFrame) -> DataFrame:
     """One row for each frame and atom from wide frames (xyz of 3 numbers an atom)."""
     at = F.posexplode(F.sequence(F.lit(0), F.floor(F.size("xyz") / 3).cast("int") - 1))
@@ -23,8 +40,8 @@ def wide_frames(coords: DataFrame) -> DataFrame:
 
 
 def keep_atoms(coords: DataFrame, atoms: DataFrame) -> DataFrame:
-    """coords of the atoms only; atoms is one topology, which Spark broadcasts when it is small."""
-    return coords.join(atoms.select("atom_idx"), "atom_idx", "left_semi")
+    """coords of the atoms only."""
+    return coords.join(small(atoms.select(*atom_key(atoms))), atom_key(atoms), "left_semi")
 
 
 def info(atoms: DataFrame, bonds: DataFrame, frames: DataFrame) -> DataFrame:
@@ -34,12 +51,12 @@ def info(atoms: DataFrame, bonds: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def weighted(coords: DataFrame, atoms: DataFrame, use_mass: bool = True) -> DataFrame:
-    """coords with a weight w: masses where they add up to more than 0, else 1."""
+    """coords with a weight w: masses where those of the topology add up to more than 0, else 1."""
     if not use_mass:
         return keep_atoms(coords, atoms).withColumn("w", F.lit(1.0))
-    total = F.sum(F.col("mass").cast("double")).over(Window.partitionBy(F.lit(0)))
-    weights = atoms.select("atom_idx", F.when(total > 0, F.col("mass").cast("double")).otherwise(1.0).alias("w"))
-    return coords.join(weights, "atom_idx")
+    total = F.sum(F.col("mass").cast("double")).over(Window.partitionBy(*(system(atoms) or [F.lit(0)])))
+    weights = atoms.select(*atom_key(atoms), F.when(total > 0, F.col("mass").cast("double")).otherwise(1.0).alias("w"))
+    return coords.join(small(weights), atom_key(atoms))
 
 
 def centroid(coords: DataFrame) -> DataFrame:
@@ -67,14 +84,23 @@ def frame_number(frames: DataFrame, index: int) -> int | None:
 
 
 def reference(coords: DataFrame, frame_id: int) -> DataFrame:
-    """(atom_idx, rx, ry, rz) of one frame."""
-    return coords.where(F.col("frame_id") == frame_id).select("atom_idx", *[F.col(a).alias(f"r{a}") for a in "xyz"])
+    """(system_id, atom_idx, rx, ry, rz): the frame of this number of each system.
+
+    Every system is compared with its own; without the column system_id, all with this one.
+    """
+    return coords.where(F.col("frame_id") == frame_id).select("system_id", "atom_idx", *[F.col(a).alias(f"r{a}") for a in "xyz"])
+
+
+def first_reference(coords: DataFrame) -> DataFrame:
+    """(system_id, atom_idx, rx, ry, rz) of each system's first frame."""
+    first = coords.groupBy("system_id").agg(F.min("frame_id").alias("frame_id"))
+    return coords.join(small(first), ["system_id", "frame_id"]).select("system_id", "atom_idx", *[F.col(a).alias(f"r{a}") for a in "xyz"])
 
 
 def rmsd_unaligned(coords: DataFrame, ref: DataFrame) -> DataFrame:
     """rmsd of each frame to the reference as it lies, by the weight w."""
     square = sum(((F.col(a) - F.col(f"r{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-    return coords.join(F.broadcast(ref), "atom_idx").groupBy("system_id", "frame_id").agg(F.sqrt(F.sum(F.col("w") * square) / F.sum("w")).alias("rmsd"))
+    return coords.join(small(ref), atom_key(ref)).groupBy("system_id", "frame_id").agg(F.sqrt(F.sum(F.col("w") * square) / F.sum("w")).alias("rmsd"))
 
 
 def slice_frames(frames: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:

@@ -8,35 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions.selection import not_solvent
+from kinetrace.operators.frames import atom_key, small, system
 
 KEY = ["system_id", "frame_id"]
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder (a temporary one only where none is set)."""
+    """Cut the lineage in the cluster's checkpoint folder (a temporary one only on one machine)."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kinetrace-"))
     return df.checkpoint()
 
 
 def molecules(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(atom_idx, molecule): connected components by bonds, named by their first atom.
+    """(atom_idx, molecule), by system_id if atoms has it: connected components by bonds, named by their first atom.
 
     Labels spread over bonds and jump to the label's own label, so long chains take few rounds.
     Without any bond all atoms are one molecule; atoms without a bond are molecules of their own.
     """
-    if bonds.limit(1).count() == 0:
-        return atoms.select("atom_idx", F.min("atom_idx").over(Window.partitionBy(F.lit(0))).alias("molecule"))
-    both = bonds.select(F.col("i").alias("u"), F.col("j").alias("v")).union(bonds.select("j", "i")).distinct()
-    labels = atoms.select("atom_idx", F.col("atom_idx").alias("molecule"))
+    s = system(atoms)
+    if s and not system(bonds):
+        bonds = bonds.crossJoin(small(atoms.select(*s).distinct()))  # one set of bonds holds for every system
+    ends = bonds.select(*s, F.col("i").alias("u"), F.col("j").alias("v"))
+    both = ends.union(bonds.select(*s, "j", "i")).distinct()
+    bonded = ends.select(*(s or [F.lit(0).alias("_all")])).distinct().withColumn("_bonded", F.lit(True))
+    every = Window.partitionBy(*(s or [F.lit(0)]))
+    marked = atoms.join(bonded, s, "left") if s else atoms.crossJoin(F.broadcast(bonded.agg(F.max("_bonded").alias("_bonded"))))
+    labels = marked.select(*s, "atom_idx", F.when(F.col("_bonded"), F.col("atom_idx")).otherwise(F.min("atom_idx").over(every)).alias("molecule"))
     while True:
-        near = both.join(labels, F.col("v") == F.col("atom_idx")).groupBy(F.col("u").alias("atom_idx")).agg(F.min("molecule").alias("m"))
-        spread = labels.join(near, "atom_idx", "left").select("atom_idx", F.col("molecule").alias("old"), F.least("molecule", F.coalesce("m", "molecule")).alias("molecule"))
-        jump = spread.select(F.col("atom_idx").alias("molecule"), F.col("molecule").alias("to"))
-        new = _checkpointed(spread.join(jump, "molecule").select("atom_idx", "old", F.least("molecule", "to").alias("molecule")))
+        near = both.join(labels.withColumnRenamed("atom_idx", "v"), [*s, "v"]).groupBy(*s, F.col("u").alias("atom_idx")).agg(F.min("molecule").alias("m"))
+        spread = labels.join(near, [*s, "atom_idx"], "left").select(*s, "atom_idx", F.col("molecule").alias("old"), F.least("molecule", F.coalesce("m", "molecule")).alias("molecule"))
+        jump = spread.select(*s, F.col("atom_idx").alias("molecule"), F.col("molecule").alias("to"))
+        new = _checkpointed(spread.join(jump, [*s, "molecule"]).select(*s, "atom_idx", "old", F.least("molecule", "to").alias("molecule")))
         changed = new.where("molecule <> old").limit(1).count()
-        labels = new.select("atom_idx", "molecule")
+        labels = new.select(*s, "atom_idx", "molecule")
         if not changed:
             return labels
 
@@ -89,7 +97,7 @@ def restitch(coords: DataFrame, mols: DataFrame, boxes: DataFrame) -> DataFrame:
 
     boxes is (system_id, frame_id, box); frames without a box (or with one of no volume) stay.
     """
-    full = _inverse_rows(coords.join(mols, "atom_idx").join(boxes, KEY, "left"))
+    full = _inverse_rows(coords.join(small(mols), atom_key(mols)).join(boxes, KEY, "left"))
     w = Window.partitionBy(*KEY, "molecule").orderBy("atom_idx")
     for a in "xyz":
         full = full.withColumn(f"d{a}", F.col(a) - F.lag(a).over(w)).withColumn(f"f{a}", F.first(a).over(w))
@@ -109,11 +117,13 @@ def autoimage(coords: DataFrame, mols: DataFrame, boxes: DataFrame, anchor: Data
     one, if several are as large) moves its anchor atoms' centre to the box centre; every other
     molecule moves by whole cells next to it. Frames without a box or anchor stay as stitched."""
     whole = restitch(coords, mols, boxes)
-    marks = mols.join(anchor.select("atom_idx", F.lit(True).alias("is_anchor")), "atom_idx", "left")
-    sizes = marks.groupBy("molecule").agg(F.count(F.lit(1)).alias("n"), F.max("is_anchor").alias("anchored"))
-    primary = sizes.where("anchored").agg(F.max_by("molecule", F.struct("n", -F.col("molecule"))).alias("primary"))
-    placed = _inverse_rows(whole.join(F.broadcast(marks.select("atom_idx", "is_anchor")), "atom_idx").join(boxes, KEY, "left").crossJoin(F.broadcast(primary)))
-    is_primary = F.col("molecule") == F.col("primary")
+    s = system(mols)
+    marks = mols.join(anchor.select(*atom_key(anchor), F.lit(True).alias("is_anchor")), atom_key(anchor), "left")
+    sizes = marks.groupBy(*s, "molecule").agg(F.count(F.lit(1)).alias("n"), F.max("is_anchor").alias("anchored"))
+    primary = sizes.where("anchored").groupBy(*s).agg(F.max_by("molecule", F.struct("n", -F.col("molecule"))).alias("primary"))
+    known = marks.join(primary, s, "left") if s else marks.crossJoin(F.broadcast(primary))  # one row without groups
+    placed = _inverse_rows(whole.join(small(known.select(*s, "atom_idx", "is_anchor", "primary")), atom_key(mols)).join(boxes, KEY, "left"))
+    is_primary = F.col("molecule").eqNullSafe(F.col("primary"))
     centre = placed.groupBy(*KEY).agg(*[F.avg(F.when(is_primary & F.col("is_anchor"), F.col(a))).alias(f"a{a}") for a in "xyz"])
     middle = placed.groupBy(*KEY, "molecule").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
     full = placed.join(centre, KEY).join(middle, [*KEY, "molecule"])
@@ -136,7 +146,7 @@ def strip(atoms: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     kept = atoms.where(not_solvent(names))
     if kept.limit(1).count() == 0:
         raise ValueError("no atoms are left after stripping")
-    w = Window.orderBy("atom_idx")  # one topology: as many rows as atoms, never frames
+    w = Window.partitionBy(*(system(atoms) or [F.lit(0)])).orderBy("atom_idx")  # as many rows as a topology has atoms
     same = F.lag("residue_id").over(w).eqNullSafe(F.col("residue_id")) & F.lag("residue_name").over(w).eqNullSafe(F.col("residue_name"))
     out = kept.withColumn("new_idx", F.row_number().over(w) - 1).withColumn("_first", F.when(same, 0).otherwise(1))
     return out.withColumn("new_residue_id", F.sum("_first").over(w).cast("int")).drop("_first")
@@ -145,19 +155,23 @@ def strip(atoms: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
 def prepare(coords: DataFrame, atoms: DataFrame, bonds: DataFrame, boxes: DataFrame, anchor: DataFrame, names: tuple[str, ...] | None = None, image: bool = True) -> DataFrame:
     """Solvent stripped, then imaged (in that order: the expensive step sees few atoms), renumbered."""
     kept = strip(atoms, names)
-    few = coords.join(F.broadcast(kept.select("atom_idx", "new_idx")), "atom_idx")
+    key = atom_key(kept)
+    numbers = small(kept.select(*key, "new_idx"))
+    few = coords.join(numbers, key)
     if image:
-        mols = molecules(atoms, bonds).join(kept.select("atom_idx"), "atom_idx")
-        there = anchor.join(kept.select("atom_idx"), "atom_idx", "left_semi")
+        mols = molecules(atoms, bonds).join(kept.select(*key), key)
+        there = anchor.join(kept.select(*key), atom_key(anchor) if system(kept) else ["atom_idx"], "left_semi")
         used = there if there.limit(1).count() else kept
-        imaged = autoimage(few.drop("new_idx"), mols, boxes, used.select("atom_idx"))
-        few = imaged.join(F.broadcast(kept.select("atom_idx", "new_idx")), "atom_idx")
+        imaged = autoimage(few.drop("new_idx"), mols, boxes, used.select(*atom_key(used)))
+        few = imaged.join(numbers, key)
     return few.select(*KEY, F.col("new_idx").alias("atom_idx"), F.col("atom_idx").alias("source_atom"), "x", "y", "z")
 
 
 def kept_bonds(bonds: DataFrame, kept: DataFrame) -> DataFrame:
     """Bonds between kept atoms in their new numbers."""
-    ends = kept.select("atom_idx", "new_idx")
-    out = bonds.select("i", "j").join(ends.select(F.col("atom_idx").alias("i"), F.col("new_idx").alias("new_i")), "i").join(ends.select(F.col("atom_idx").alias("j"), F.col("new_idx").alias("new_j")), "j")
-    return out.select(F.col("new_i").alias("i"), F.col("new_j").alias("j"))
+    s = system(kept)
+    end = lambda x: kept.select(*s, F.col("atom_idx").alias(x), F.col("new_idx").alias(f"new_{x}"))
+    by = system(bonds) if s else []
+    out = bonds.select(*by, "i", "j").join(end("i"), [*by, "i"]).join(end("j"), [*s, "j"])
+    return out.select(*s, F.col("new_i").alias("i"), F.col("new_j").alias("j"))
 

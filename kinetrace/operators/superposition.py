@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.functions import geometry as G
+from kinetrace.operators.frames import atom_key, small, system
 
 KEY = ["system_id", "frame_id"]
 
@@ -20,9 +21,9 @@ def moments(coords: DataFrame, ref: DataFrame) -> DataFrame:
     The reference's centroid is taken off both sides before summing, so that large distances from
     the origin cost no digits.
     """
-    centre = [F.avg(f"r{a}").over(Window.partitionBy(F.lit(0))).alias(f"o{a}") for a in "xyz"]
+    centre = [F.avg(f"r{a}").over(Window.partitionBy(*(system(ref) or [F.lit(0)]))).alias(f"o{a}") for a in "xyz"]
     near = ref.select("*", *centre)
-    both = coords.join(F.broadcast(near), "atom_idx")
+    both = coords.join(small(near), atom_key(ref))
     p = {a: F.col(a) - F.col(f"o{a}") for a in "xyz"}
     q = {a: F.col(f"r{a}") - F.col(f"o{a}") for a in "xyz"}
     w = F.col("w")
@@ -84,21 +85,22 @@ def align(coords: DataFrame, ref: DataFrame, on: DataFrame | None = None) -> Dat
 
 
 def mean_structure(coords: DataFrame) -> DataFrame:
-    return coords.groupBy("atom_idx").agg(*[F.avg(a).alias(f"r{a}") for a in "xyz"])
+    """(system_id, atom_idx, rx, ry, rz): the mean of each system's frames as they lie."""
+    return coords.groupBy("system_id", "atom_idx").agg(*[F.avg(a).alias(f"r{a}") for a in "xyz"])
 
 
 def rmsf(coords: DataFrame, ref: DataFrame | None = None) -> DataFrame:
-    """rmsf of each atom: frames are superposed (by w) on the reference, by default the unaligned
-    mean; the fluctuation itself is unweighted, over all frames."""
+    """rmsf of each system's atoms: frames are superposed (by w) on the reference, by default the unaligned
+    mean of the system; the fluctuation itself is unweighted, over all its frames."""
     aligned = align(coords, mean_structure(coords) if ref is None else ref)
-    return aligned.groupBy("atom_idx").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
+    return aligned.groupBy("system_id", "atom_idx").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
 
 
 def by_residue(values: DataFrame, atoms: DataFrame, column: str = "rmsf") -> DataFrame:
     """Mass-weighted mean of each residue (plain where its atoms or all atoms have no mass); first_atom orders."""
-    joined = values.join(atoms.select("atom_idx", "residue_id", F.col("mass").cast("double").alias("m")), "atom_idx")
+    joined = values.join(small(atoms.select(*atom_key(atoms), "residue_id", F.col("mass").cast("double").alias("m"))), atom_key(atoms))
     mean = F.when(F.sum("m") > 0, F.sum(F.col("m") * F.col(column)) / F.sum("m")).otherwise(F.avg(column))
-    return joined.groupBy("residue_id").agg(mean.alias(column), F.min("atom_idx").alias("first_atom"))
+    return joined.groupBy(*system(values), "residue_id").agg(mean.alias(column), F.min("atom_idx").alias("first_atom"))
 
 
 def kabsch(mobile: np.ndarray, reference: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

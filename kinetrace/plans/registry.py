@@ -19,8 +19,6 @@ from kinetrace.plans import fixture
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AXES = "xyz"
-#: Last frame of the surface SQL, which joins atoms and points. The queries cover all frames.
-SURFACE_FRAMES = 50
 
 
 def _r(c: str, digits: int = 6) -> Column:
@@ -113,6 +111,11 @@ def rg_ragged(spark, d):
     return frames.radius_of_gyration(rows).select("frame_id", _r("rg"))
 
 
+def _frame_0(spark, d):
+    """Frame 0, which one of the systems has, as the reference of all."""
+    return frames.reference(fixture.coords(spark, d), 0).drop("system_id")
+
+
 def _unaligned_sql(weight: str) -> str:
     return f"""SELECT c.system_id, c.frame_id, round(sqrt(sum({weight} * ((c.x - r.x) ** 2 + (c.y - r.y) ** 2 + (c.z - r.z) ** 2)) / sum({weight})), 6) AS rmsd
 FROM coords c JOIN (SELECT * FROM coords WHERE frame_id = 0) r USING (atom_idx) JOIN topo USING (atom_idx) GROUP BY c.system_id, c.frame_id"""
@@ -120,12 +123,12 @@ FROM coords c JOIN (SELECT * FROM coords WHERE frame_id = 0) r USING (atom_idx)
 
 @query("rmsd_noalign", _unaligned_sql("1.0"))
 def rmsd_noalign(spark, d):
-    return frames.rmsd_unaligned(_weighted(spark, d, mass=False), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+    return frames.rmsd_unaligned(_weighted(spark, d, mass=False), _frame_0(spark, d)).select("system_id", "frame_id", _r("rmsd"))
 
 
 @query("rmsd_noalign_weighted", _unaligned_sql("mass"))
 def rmsd_noalign_weighted(spark, d):
-    return frames.rmsd_unaligned(_weighted(spark, d), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+    return frames.rmsd_unaligned(_weighted(spark, d), _frame_0(spark, d)).select("system_id", "frame_id", _r("rmsd"))
 
 
 @query("time_axis", "SELECT CAST(label AS INTEGER) AS system_id, vec_id AS frame_id, round(2.0 * vec_id * 0.001, 6) + 0.0 AS t, 'Time (ns)' AS label FROM embeddings WHERE embedding IS NOT NULL")
@@ -139,12 +142,12 @@ def frame_slice(spark, d):
 
 
 # ---- superposition ----
-def _moments_sql(weight: str, where: str = "TRUE", ref: str = "(SELECT atom_idx, x AS rx, y AS ry, z AS rz FROM coords WHERE frame_id = 0)") -> str:
+def _moments_sql(weight: str, where: str = "TRUE", ref: str = "(SELECT atom_idx, x AS rx, y AS ry, z AS rz FROM coords WHERE frame_id = 0)", key: str = "atom_idx") -> str:
     p, q = {a: f"({a} - c{a})" for a in AXES}, {a: f"(r{a} - q{a})" for a in AXES}
     sums = ", ".join(f"sum(w * {p[a]} * {q[b]}) AS m{a}{b}" for a in AXES for b in AXES)
     return f"""
 centred AS (SELECT *, {", ".join(f"sum(w * {a}) OVER f / sum(w) OVER f AS c{a}, sum(w * r{a}) OVER f / sum(w) OVER f AS q{a}" for a in AXES)}
-  FROM (SELECT c.*, r.rx, r.ry, r.rz, CAST({weight} AS DOUBLE) AS w FROM coords c JOIN {ref} r USING (atom_idx) JOIN topo USING (atom_idx) WHERE {where}) WINDOW f AS (PARTITION BY system_id, frame_id)),
+  FROM (SELECT c.*, r.rx, r.ry, r.rz, CAST({weight} AS DOUBLE) AS w FROM coords c JOIN {ref} r USING ({key}) JOIN topo USING (atom_idx) WHERE {where}) WINDOW f AS (PARTITION BY system_id, frame_id)),
 moments AS (SELECT system_id, frame_id, sum(w) AS w, sum(w * ({" + ".join(f"{p[a]} * {p[a]}" for a in AXES)})) AS ga, sum(w * ({" + ".join(f"{q[a]} * {q[a]}" for a in AXES)})) AS gb, {sums},
   {", ".join(f"max(c{a}) AS pc{a}, max(q{a}) AS qc{a}" for a in AXES)} FROM centred GROUP BY system_id, frame_id),
 poly AS (SELECT *, {G.C2} AS c2, {G.C1} AS c1, {G.C0} AS c0 FROM moments),
@@ -165,31 +168,39 @@ aligned AS (SELECT c.system_id, c.frame_id, c.atom_idx, {", ".join(" + ".join(f"
 
 @query("rmsd_qcp", f", {_moments_sql('1.0', "atom_name = 'CA'")} SELECT system_id, frame_id, round({G.RMSD}, 6) + 0.0 AS rmsd FROM roots")
 def rmsd_qcp(spark, d):
-    return superposition.rmsd(_weighted(spark, d, "name CA", False), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+    return superposition.rmsd(_weighted(spark, d, "name CA", False), _frame_0(spark, d)).select("system_id", "frame_id", _r("rmsd"))
 
 
 @query("rmsd_qcp_weighted", f", {_moments_sql('mass')} SELECT system_id, frame_id, round({G.RMSD}, 6) + 0.0 AS rmsd FROM roots")
 def rmsd_qcp_weighted(spark, d):
-    return superposition.rmsd(_weighted(spark, d), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", _r("rmsd"))
+    return superposition.rmsd(_weighted(spark, d), _frame_0(spark, d)).select("system_id", "frame_id", _r("rmsd"))
 
 
 @query("aligned_coords", f", {_moments_sql('mass')} {_align_sql()} SELECT system_id, frame_id, atom_idx, {', '.join(f'round({a}, 5) + 0.0 AS {a}' for a in AXES)} FROM aligned")
 def aligned_coords(spark, d):
-    return superposition.align(_weighted(spark, d), frames.reference(fixture.coords(spark, d), 0)).select("system_id", "frame_id", "atom_idx", *[_r(a, 5) for a in AXES])
+    return superposition.align(_weighted(spark, d), _frame_0(spark, d)).select("system_id", "frame_id", "atom_idx", *[_r(a, 5) for a in AXES])
 
 
-_MEAN_REF = "(SELECT atom_idx, avg(x) AS rx, avg(y) AS ry, avg(z) AS rz FROM coords GROUP BY atom_idx)"
-_RMSF = f", {_moments_sql('mass', ref=_MEAN_REF)} {_align_sql()}, fluct AS (SELECT atom_idx, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsf FROM aligned GROUP BY atom_idx)"
+_MEAN_REF = "(SELECT system_id, atom_idx, avg(x) AS rx, avg(y) AS ry, avg(z) AS rz FROM coords GROUP BY system_id, atom_idx)"
+_RMSF = f", {_moments_sql('mass', ref=_MEAN_REF, key='system_id, atom_idx')} {_align_sql()}, fluct AS (SELECT system_id, atom_idx, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsf FROM aligned GROUP BY system_id, atom_idx)"
 
 
-@query("rmsf_atom", f"{_RMSF} SELECT atom_idx, round(rmsf, 6) AS rmsf FROM fluct")
+@query("rmsf_atom", f"{_RMSF} SELECT system_id, atom_idx, round(rmsf, 6) AS rmsf FROM fluct")
 def rmsf_atom(spark, d):
-    return superposition.rmsf(_weighted(spark, d)).select("atom_idx", _r("rmsf"))
+    return superposition.rmsf(_weighted(spark, d)).select("system_id", "atom_idx", _r("rmsf"))
 
 
-@query("rmsf_residue", f"{_RMSF} SELECT residue_id, round(sum(mass * rmsf) / sum(mass), 6) AS rmsf, min(atom_idx) AS first_atom FROM fluct JOIN topo USING (atom_idx) GROUP BY residue_id")
+@query("rmsf_residue", f"{_RMSF} SELECT system_id, residue_id, round(sum(mass * rmsf) / sum(mass), 6) AS rmsf, min(atom_idx) AS first_atom FROM fluct JOIN topo USING (atom_idx) GROUP BY system_id, residue_id")
 def rmsf_residue(spark, d):
-    return superposition.by_residue(superposition.rmsf(_weighted(spark, d)), fixture.atoms(spark)).select("residue_id", _r("rmsf"), "first_atom")
+    return superposition.by_residue(superposition.rmsf(_weighted(spark, d)), fixture.atoms(spark)).select("system_id", "residue_id", _r("rmsf"), "first_atom")
+
+
+_OWN_REF = "(SELECT system_id, atom_idx, x AS rx, y AS ry, z AS rz FROM coords WHERE (system_id, frame_id) IN (SELECT (system_id, min(frame_id)) FROM coords GROUP BY system_id))"
+
+
+@query("rmsd_own_reference", f", {_moments_sql('mass', ref=_OWN_REF, key='system_id, atom_idx')} SELECT system_id, frame_id, round({G.RMSD}, 4) + 0.0 AS rmsd FROM roots")
+def rmsd_own_reference(spark, d):
+    return superposition.rmsd(_weighted(spark, d), frames.first_reference(fixture.coords(spark, d))).select("system_id", "frame_id", _r("rmsd", 4))
 
 
 # ---- distances ----
@@ -199,7 +210,7 @@ _DONORS = f"donors AS (SELECT a.atom_idx AS donor, b.atom_idx AS hydrogen FROM (
 
 @query("donors", f", {_DONORS} SELECT donor, hydrogen FROM donors")
 def donors(spark, d):
-    return distance.donors(fixture.coords(spark, d), fixture.atoms(spark))
+    return distance.donors(fixture.coords(spark, d), fixture.atoms(spark)).drop("system_id")
 
 
 @query("hbond_count", f""", {_DONORS},
@@ -210,7 +221,7 @@ found AS (SELECT n.system_id, n.frame_id, count(*) AS n FROM near n JOIN donors
 SELECT system_id, frame_id, CAST(coalesce(n, 0) AS BIGINT) AS n_hbonds FROM (SELECT DISTINCT system_id, frame_id FROM coords) LEFT JOIN found USING (system_id, frame_id)""")
 def hbond_count(spark, d):
     coords, atoms = fixture.coords(spark, d), fixture.atoms(spark)
-    return distance.hydrogen_bonds(coords, atoms, distance.donors(coords, atoms))
+    return distance.hydrogen_bonds(coords, atoms, distance.donors(coords, atoms).drop("system_id"))
 
 
 @query("contact_pairs", f"SELECT a.system_id, a.frame_id, a.atom_idx AS i, b.atom_idx AS j, round({_D}, 6) AS d FROM coords a JOIN coords b ON a.system_id = b.system_id AND a.frame_id = b.frame_id AND a.atom_idx < b.atom_idx AND {_D} <= 2.0")
@@ -218,7 +229,7 @@ def contact_pairs(spark, d):
     return distance.contacts(fixture.coords(spark, d), 2.0).select("system_id", "frame_id", "i", "j", _r("d"))
 
 
-_SASA = f""", reach AS (SELECT *, CASE element WHEN 'H' THEN 1.2 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.7 END + 1.4 AS r FROM coords JOIN topo USING (atom_idx) WHERE frame_id <= {SURFACE_FRAMES}),
+_SASA = f""", reach AS (SELECT *, CASE element WHEN 'H' THEN 1.2 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.7 END + 1.4 AS r FROM coords JOIN topo USING (atom_idx)),
 sphere AS (SELECT i, sin(phi) * cos(th) AS sx, sin(phi) * sin(th) AS sy, cos(phi) AS sz FROM (SELECT i, acos(1 - 2 * (i + 0.5) / 96) AS phi, pi() * (1 + sqrt(5)) * (i + 0.5) AS th FROM range(96) t(i))),
 hidden AS (SELECT DISTINCT a.system_id, a.frame_id, a.atom_idx, s.i FROM reach a JOIN reach b ON a.system_id = b.system_id AND a.frame_id = b.frame_id AND a.atom_idx <> b.atom_idx CROSS JOIN sphere s WHERE (a.x + a.r * sx - b.x) ** 2 + (a.y + a.r * sy - b.y) ** 2 + (a.z + a.r * sz - b.z) ** 2 < CAST(b.r AS DOUBLE) * CAST(b.r AS DOUBLE)),
 area AS (SELECT a.system_id, a.frame_id, a.atom_idx, 4 * pi() * CAST(r AS DOUBLE) * CAST(r AS DOUBLE) * (96 - coalesce(n, 0)) / 96 AS sasa FROM reach a LEFT JOIN (SELECT system_id, frame_id, atom_idx, count(*) AS n FROM hidden GROUP BY ALL) USING (system_id, frame_id, atom_idx))"""
@@ -246,7 +257,7 @@ def sasa_kernel(spark, d):
 
 # ---- modes and clusters ----
 def _pca(spark, d):
-    aligned = superposition.align(_weighted(spark, d, "name CA", False), frames.reference(fixture.coords(spark, d), 0))
+    aligned = superposition.align(_weighted(spark, d, "name CA", False), _frame_0(spark, d))
     return modes.PCA(frames.wide_frames(aligned), 6)
 
 
@@ -354,7 +365,14 @@ def cell_lengths_angles(spark, d):
 # ---- series ----
 @query("running_average", "SELECT system, x, round(avg(y) OVER (PARTITION BY system ORDER BY x ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) + 0.0 AS smooth FROM series")
 def running_average(spark, d):
-    return series.running_average(fixture.series(spark, d), series.window_size(10**6, 21)).select("system", "x", _r("smooth"))
+    return series.running_average(fixture.series(spark, d), 21).select("system", "x", _r("smooth"))
+
+
+@query("running_average_auto", """, sized AS (SELECT *, count(*) OVER (PARTITION BY system) AS n, row_number() OVER (PARTITION BY system ORDER BY x) AS at FROM series),
+wide AS (SELECT *, least(greatest(5, n // 20), n) AS w FROM sized), odd AS (SELECT *, greatest(1, least(w + CASE WHEN w % 2 = 0 THEN 1 ELSE 0 END, n)) // 2 AS half FROM wide)
+SELECT a.system, a.x, round((SELECT avg(b.y) FROM odd b WHERE b.system = a.system AND b.at BETWEEN a.at - a.half AND a.at + a.half), 4) + 0.0 AS smooth FROM odd a""")
+def running_average_auto(spark, d):
+    return series.running_average(fixture.series(spark, d)).select("system", "x", _r("smooth", 4))
 
 
 @query("robust_ylim", """, p AS (SELECT system, quantile_cont(y, 0.01) AS p1, quantile_cont(y, 0.99) AS p99 FROM series GROUP BY system),

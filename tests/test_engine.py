@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrace.functions.selection import SelectionError, predicate, select
 from kinetrace.operators import distance, frames, imaging, modes, series, superposition
@@ -109,7 +110,8 @@ def test_kmeans_and_time(spark):
     assert {r["label"] for r in frames.time_axis(times, unit="ns").collect()} == {"Frame"}
     with pytest.raises(ValueError):
         frames.time_axis(times, unit="h")
-    assert series.window_size(100) == 5 and series.window_size(4, 10) == 4
+    widths = spark.range(1).select(*[series.smoothing_width(F.lit(n), r).alias(f"w{k}") for k, (n, r) in enumerate(((100, 0), (4, 10), (1000, 0), (3, 0), (50, 8), (1, 0)))]).first()
+    assert tuple(widths) == (5, 4, 51, 3, 9, 1)
 
 
 @pytest.mark.parametrize("name", ["rmsd_qcp", "rmsf_residue", "hbond_count", "autoimage_ortho", "robust_ylim", "molecules"])
@@ -124,3 +126,29 @@ def test_oracle(spark, name):
     assert len(a) == len(b)
     for c in columns:
         assert np.allclose(a[c], b[c], atol=2e-6) if a[c].dtype.kind == "f" else (a[c] == b[c]).all()
+
+
+def test_systems_are_kept_apart(spark):
+    """Two systems that share frame and atom numbers, and never move: each is its own reference."""
+    rng = np.random.default_rng(3)
+    shapes = {s: rng.normal(size=(6, 3)) * 3 for s in (1, 2)}
+    rows = [(s, f, a, *map(float, p)) for s, shape in shapes.items() for f in range(4) for a, p in enumerate(shape)]
+    coords = spark.createDataFrame(rows, "system_id int, frame_id long, atom_idx int, x double, y double, z double")
+    names = {1: "NHOHCC", 2: "CCNHNH"}
+    atoms = spark.createDataFrame([(s, a, e, e, 1 + a // 3, "ALA", float(s * (a + 1))) for s, n in names.items() for a, e in enumerate(n)], "system_id int, atom_idx int, atom_name string, element string, residue_id int, residue_name string, mass double")
+    whole = frames.weighted(coords, atoms)
+    assert whole.count() == len(rows)
+    assert {round(r["rmsd"], 5) for r in frames.rmsd_unaligned(whole, frames.reference(coords, 0)).collect()} == {0.0}
+    assert all(r["rmsd"] < 1e-3 for r in superposition.rmsd(whole, frames.first_reference(coords)).collect())
+    fluct = superposition.rmsf(whole)
+    assert fluct.count() == 12 and all(r["rmsf"] < 1e-6 for r in fluct.collect())
+    assert superposition.by_residue(fluct, atoms).count() == 4
+    found = {tuple(r) for r in distance.donors(coords, atoms, 0, 9.0).collect()}
+    want = {(s, i, j) for s, n in names.items() for i in range(6) for j in range(6) if n[i] in "NO" and n[j] == "H" and np.linalg.norm(shapes[s][i] - shapes[s][j]) <= 9.0}
+    assert found == want and {s for s, _, _ in want} == {1, 2}
+    bonds = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 4, 5)], "system_id int, i int, j int")
+    mols = {(r["system_id"], r["atom_idx"]): r["molecule"] for r in imaging.molecules(atoms, bonds).collect()}
+    assert [mols[1, a] for a in range(6)] == [0, 0, 0, 3, 4, 5] and [mols[2, a] for a in range(6)] == [0, 1, 2, 3, 4, 4]
+    boxes = coords.select("system_id", "frame_id").distinct().withColumn("box", F.array(*[F.lit(20.0 if k % 4 == 0 else 0.0) for k in range(9)]))
+    out = imaging.prepare(coords, atoms, bonds, boxes, atoms.where("element = 'C'"))
+    assert out.count() == len(rows) and out.select("system_id", "frame_id", "atom_idx").distinct().count() == len(rows)
