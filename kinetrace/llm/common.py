@@ -30,11 +30,11 @@ class Scratch:
     """Tables in the folder that the cluster shares (spark.checkpoint.dir).
 
     A written table cuts lineage: a lost executor costs only the tasks of the current step.
-    Only where the setting is absent (tests, a laptop) a temporary folder stands in for it.
+    Only in local mode (tests, a laptop) a temporary folder stands in where the setting is absent.
     """
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _fallback_dir(spark)
         self.spark, self.root = spark, f"{base.rstrip('/')}/kinetrace-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -62,7 +62,9 @@ class Scratch:
 _FALLBACK: list[str] = []
 
 
-def _fallback_dir() -> str:
+def _fallback_dir(spark: SparkSession) -> str:
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="kinetrace-"))
     return _FALLBACK[0]
