@@ -1,183 +1,283 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A tolerant scanner turns a page into blocks of text with their open elements. A classifier gives
-each block a cost of either label from its elements' tags and class names, its share of link text
-and its words: these costs are the capacities from the source and to the sink. Neighbouring blocks,
-and blocks close in the element tree, are joined by smoothness edges. The minimum cut (maximum
-flow) is the cheapest labelling. Blocks that no neighbours can outvote are settled first, which
-leaves the cut unchanged; the flow runs over the rest.
+A tolerant scanner turns a page into blocks of text, each with its place in the element tree. A
+classifier weighs either label of a block by its length, punctuation, share of link text and kind,
+and by the tags and class names above it: these costs are the capacities from the source and to the
+sink. Neighbouring blocks are joined by smoothness edges, the stronger the closer they stand in the
+tree and weak across the border of a menu, an advert or an article. The minimum cut (maximum flow)
+is the cheapest labelling. Costs and edges are of one size: a short line is boilerplate by itself
+and content between paragraphs, and a long one between menu entries goes with them. Blocks that no
+neighbours can outvote are settled first, which leaves the cut unchanged; the flow runs over the rest.
+
+Scanning takes time in proportion to the page, whatever its markup: elements point to their parents
+and carry what their blocks need, and ends of tags are looked up in a table of `>` and quotes.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# HTML element names by role.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "title", "textarea", "xmp")
+# HTML element names by role. RAW contents are no markup and never shown as text.
+RAW = frozenset("script style template iframe title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-CLOSED_BY_BLOCK = frozenset(("p",))
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-UNSEEN = frozenset(("head", "select", "button", "datalist", "option", "label", "canvas", "audio", "video", "map"))
-BOILER_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "address"))
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+UNSEEN = frozenset("head select datalist canvas audio video".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset address button label".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 # Words of class and id names, split at punctuation and capitals.
-BOILER_WORDS = frozenset("ad ads adv advert advertisement advertising adsense banner banners breadcrumb breadcrumbs byline captcha chat comment comments consent cookie cookies copyright credits disclaimer disqus discussion dropdown feedback footer footnav form gdpr header legal links login masthead menu menubar meta modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popular popup privacy promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags taboola teaser toolbar topbar trending widget widgets".split())
+BOILER_WORDS = frozenset("ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer footnav gdpr masthead menu menubar nav navbar navigation newsletter notice outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply sidebar signup sponsor sponsored subscribe subscription taboola teaser topbar widget widgets".split())
+DOUBTFUL_WORDS = frozenset("banners byline captcha chat credits disclaimer discussion dropdown feedback form header legal links login meta modal notification popular privacy recommendation respond responses search share sharing skip social tags toolbar trending".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main mainbody post postbody story text".split())
 
-EDGE_NEXT, EDGE_NEAR, EDGE_SKIP = 0.5, 0.5, 0.25
-
-_RAW = "|".join(RAW)
-_TOKEN = re.compile(
-    rf"<!--(?P<comment>.*?)(?:-->|\Z)"
-    rf"|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?)(?:</(?P=raw)\s*[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)>"
-    r"|<[!?/][^>]*+>"
-    r"|(?P<text>[^<]++|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+# Costs: evidence of the elements above a block, and of the block itself.
+CONTENT, BOILER, DOUBTFUL, HEADER, LEAST = 2.2, -4.5, -1.8, -2.5, -8.0
+BLANK, PER_WORD, MOST_WORDS, LINKED, STOP, PARAGRAPH, HEADING = -4.0, 0.12, 25, -3.0, 0.8, 0.8, 3.5
+# Weights of edges: neighbours, more by their distance in the tree, across a border, next but one.
+EDGE_NEXT, EDGE_NEAR, EDGE_BORDER, EDGE_SKIP = 1.2, 1.2, 0.1, 0.4
+
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ENDS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "tag")
+    __slots__ = ("text", "links", "element", "tag")
 
-    def __init__(self, text: str, links: int, path: tuple, tag: str):
-        self.text, self.links, self.path, self.tag = text, links, path, tag
+    def __init__(self, text: str, links: int, element: _Element | None, tag: str):
+        self.text, self.links, self.element, self.tag = text, links, element, tag
 
 
 class _Element:
-    __slots__ = ("tag", "boiler", "content", "unseen", "number")
-
-    def __init__(self, tag: str, attrs: str, number: int):
-        self.tag, self.number = tag, number
-        self.boiler, self.content = tag in BOILER_TAGS, tag in CONTENT_TAGS
-        self.unseen = tag in UNSEEN
-        if not attrs or attrs == "/":
-            return
-        for name, a, b, c in _ATTR.findall(attrs):
+    """An open element: its parent, and what it hands on to the blocks below it."""
+
+    __slots__ = ("tag", "parent", "depth", "evidence", "border", "unseen", "linked", "block", "inline")
+
+    def __init__(self, tag: str, attrs: str, parent: _Element | None):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 1
+        self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        self.block = self if tag in BLOCK else parent.block if parent else None
+        self.inline: Counter | None = Counter() if tag in BLOCK else None  # open inline elements right below
+        boiler, content, doubtful = tag in BOILER_TAGS, tag in CONTENT_TAGS, False
+        for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                self.boiler |= not words.isdisjoint(BOILER_WORDS) and tag not in ("body", "html")
-                self.content |= not words.isdisjoint(CONTENT_WORDS) and tag not in ("body", "html")
+                if tag not in ("body", "html"):
+                    words = {w.lower() for w in _WORDS.findall(value)}
+                    boiler |= not words.isdisjoint(BOILER_WORDS)
+                    doubtful |= not words.isdisjoint(DOUBTFUL_WORDS)
+                    content |= not words.isdisjoint(CONTENT_WORDS)
             elif name == "role":
-                self.boiler |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu")
-                self.content |= value in ("main", "article")
-            elif name == "itemprop" and value.lower() in ("articlebody", "text"):
-                self.content = True
+                boiler |= value.lower() in BOILER_ROLES
+                content |= value.lower() in ("main", "article")
+            elif name == "itemprop":
+                content |= value.lower() in ("articlebody", "text")
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
                 self.unseen = True
-        if self.boiler and self.content and tag not in CONTENT_TAGS:
-            self.content = False  # such as "post-comments"
+        above = parent.evidence if parent else 0.0
+        if tag in CONTENT_TAGS:  # an article may stand inside anything
+            above = CONTENT + 0.25 * min(above, 0.0)
+        elif content and not (boiler or doubtful):
+            above = min(CONTENT, above + CONTENT)
+        if boiler:
+            above += BOILER
+        elif doubtful:
+            above += DOUBTFUL
+        elif tag == "header":
+            above += HEADER
+        self.evidence, self.border = max(LEAST, above), boiler or doubtful or tag in CONTENT_TAGS or tag == "header"
+
+
+class _Ends:
+    """Where tags end: at the first > that is outside quotes, or the first of all if there is none.
+
+    A quote without a partner is an ordinary character. Quotes from which no end was found are
+    remembered, so that no part of a page is searched again and again.
+    """
+
+    def __init__(self, page: str):
+        self.at, self.kind = [], []
+        for m in _ENDS.finditer(page):
+            self.at.append(m.start())
+            self.kind.append(m[0])
+        n = len(self.at)
+        self.partner, self.close, last, end = [n] * n, [n] * (n + 1), {}, n
+        for k in range(n - 1, -1, -1):
+            self.partner[k] = last.get(self.kind[k], n)
+            last[self.kind[k]] = k
+            end = k if self.kind[k] == ">" else end
+            self.close[k] = end
+        self.endless: set[int] = set()
+
+    def find(self, start: int) -> int:
+        """The place of the > that ends the tag begun before start; -1 if there is none."""
+        first = k = bisect_left(self.at, start)
+        n, passed = len(self.at), []
+        while k < n and k not in self.endless:
+            if self.kind[k] == ">":
+                return self.at[k]
+            passed.append(k)
+            k = self.partner[k] + 1 if self.partner[k] < n else k + 1
+        self.endless.update(passed)
+        return self.at[self.close[first]] if self.close[first] < n else -1
+
+
+class _Reader:
+    """The open elements and the text of the block that is being read."""
+
+    def __init__(self):
+        self.top: _Element | None = None
+        self.open: Counter = Counter()
+        self.out: list[Block] = []
+        self.parts: list[str] = []
+        self.links = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            if text and not (self.top and self.top.unseen):
+                block = self.top.block if self.top else None
+                self.out.append(Block(text, self.links, self.top, block.tag if block else ""))
+            self.parts.clear()
+        self.links = 0
+
+    def text(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            if self.top and self.top.linked:
+                self.links += len(text)
+
+    def pop(self) -> None:
+        e, self.top = self.top, self.top.parent
+        self.open[e.tag] -= 1
+        if e.inline is None and e.block:
+            e.block.inline[e.tag] -= 1
+
+    def pop_to(self, element: _Element) -> None:
+        while self.top is not element:
+            self.pop()
+        self.pop()
+
+    def close(self, tag: str) -> None:
+        if self.open[tag] > 0 and (tag in BLOCK or not self.top.block or self.top.block.inline[tag] > 0):
+            while self.top.tag != tag:  # inline elements don't close across blocks
+                self.pop()
+            self.pop()
+
+    def start(self, tag: str, attrs: str) -> None:
+        if tag == "body":
+            while self.top:
+                self.pop()
+        elif tag in BLOCK:
+            # an open paragraph ends, and what is left open inside it
+            if self.top and self.top.block and self.top.block.tag == "p":
+                self.pop_to(self.top.block)
+            for closing in CLOSES.get(tag, ()):
+                if self.top and self.top.block and self.top.block.tag == closing:
+                    self.pop_to(self.top.block)
+        self.top = _Element(tag, attrs, self.top)
+        self.open[tag] += 1
+        if self.top.inline is None and self.top.block:
+            self.top.block.inline[tag] += 1
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order; white space collapsed, references decoded."""
-    stack: list[_Element] = []
-    out: list[Block] = []
-    parts: list[str] = []
-    state = {"links": 0, "number": 0}
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(e.unseen for e in stack):
-                inner = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-                out.append(Block(text, state["links"], tuple(stack), inner))
-            parts.clear()
-        state["links"] = 0
-
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            parts.append(text)
-            if any(e.tag == "a" for e in stack):
-                state["links"] += len(text)
-            continue
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue  # a comment, a raw element or a declaration
-        tag = tag.lower()
-        if tag == "br":
-            parts.append(" ")
+    reader, ends, at = _Reader(), _Ends(page), 0
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            reader.text(page[at:])
+            break
+        reader.text(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            if end < 0:
+                break
+            at = end + 3
             continue
-        if tag in BLOCK:
-            flush()
-        if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # inline elements don't close across blocks
+        m = _TAG.match(page, begin)
+        if m is None:
+            end = page.find(">", begin) if page[begin + 1 : begin + 2] in ("!", "?", "/") else -1
+            at = end + 1 if end >= 0 else begin + 1
+            if end < 0:
+                reader.text("<")
             continue
-        if tag in VOID:
+        end = ends.find(m.end())
+        if end < 0:
+            reader.text(page[begin:])
+            break
+        tag, attrs, at = m[1].lower(), page[m.end() : end], end + 1
+        if tag == "br":
+            reader.text(" ")
             continue
         if tag in BLOCK:
-            # inline elements left open end with their block, as an open paragraph does
-            for closing in CLOSES.get(tag, ()):
-                while stack and stack[-1].tag not in BLOCK:
-                    stack.pop()
-                if stack and stack[-1].tag == closing:
-                    stack.pop()
-            while any(e.tag in CLOSED_BY_BLOCK for e in stack):
-                at = max(i for i, e in enumerate(stack) if e.tag in CLOSED_BY_BLOCK)
-                if any(e.tag in BLOCK for e in stack[at + 1 :]):
-                    break
-                del stack[at:]
-            if tag == "body":
-                del stack[:]
-        state["number"] += 1
-        stack.append(_Element(tag, m["attrs"] or m["attrs2"] or "", state["number"]))
-    flush()
-    return out
+            reader.flush()
+        if page[begin + 1] == "/":
+            reader.close(tag)
+        elif tag in RAW:
+            done = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            if done is None:
+                break
+            end = page.find(">", done.end())
+            if end < 0:
+                break
+            at = end + 1
+        elif tag not in VOID:
+            reader.start(tag, attrs)
+    reader.flush()
+    return reader.out
 
 
 def preference(block: Block) -> float:
     """How much the classifier prefers the label content (below 0: boilerplate)."""
     words = block.text.count(" ") + 1
     share = min(1.0, block.links / max(1, len(block.text)))
-    score = -1.0 + 0.12 * min(words, 25) - 4.0 * share
-    score += 0.8 * (block.text[-1] in ".!?…:;\"”»") + 0.8 * (block.tag in ("p", "blockquote", "pre")) + 1.0 * (block.tag in ("h1", "h2", "h3"))
-    depth = max((i for i, e in enumerate(block.path) if e.content), default=-1)
-    if depth >= 0:
-        score += 3.0
-    for i, e in enumerate(block.path):
-        if e.boiler:
-            # what stands inside the article is no part of it; the article may stand inside anything
-            inner = any(x.tag in CONTENT_TAGS for x in block.path[i + 1 :])
-            score -= 2.0 if inner else 7.0
-        elif e.tag == "header" and block.tag != "h1":
-            score -= 2.0 if depth >= 0 and i > depth else 6.0
-    return max(-8.0, min(8.0, score))
+    score = BLANK + PER_WORD * min(words, MOST_WORDS) + LINKED * share
+    score += STOP * (block.text[-1] in ".!?…:;\"”»") + PARAGRAPH * (block.tag in ("p", "blockquote", "pre")) + HEADING * (block.tag in ("h1", "h2", "h3"))
+    if block.element:
+        score += block.element.evidence
+        if block.tag == "h1" and block.element.block.parent and block.element.block.parent.tag == "header":
+            score -= HEADER
+    return score
 
 
 def edges(items: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness between neighbours, more where their elements are close, and to the next but one."""
     out = []
     for i in range(len(items) - 1):
-        a, b = items[i].path, items[i + 1].path
-        common = 0
-        while common < len(a) and common < len(b) and a[common] is b[common]:
-            common += 1
-        distance = len(a) + len(b) - 2 * common
-        out.append((i, i + 1, EDGE_NEXT + EDGE_NEAR / max(1, distance - 1)))
-        if i + 2 < len(items) and items[i].path[:-1] == items[i + 2].path[:-1]:
+        a, b, distance, border = items[i].element, items[i + 1].element, 0, False
+        while a is not b:  # up to the first common element; adds up to one walk around the tree
+            if b is None or (a is not None and a.depth >= b.depth):
+                border |= a.border
+                a = a.parent
+            else:
+                border |= b.border
+                b = b.parent
+            distance += 1
+        out.append((i, i + 1, EDGE_BORDER if border else EDGE_NEXT + EDGE_NEAR / max(1, distance - 1)))
+        if i + 2 < len(items) and _parent(items[i]) is _parent(items[i + 2]) and not border:
             out.append((i, i + 2, EDGE_SKIP))
     return out
 
 
+def _parent(block: Block) -> _Element | None:
+    return block.element.parent if block.element else None
+
+
 def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """The labels (True: content) of least cost: a label against a score costs its size, an edge
     between different labels its weight. Ties go to boilerplate."""
@@ -262,7 +362,8 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of every page with text and n_chars (its code points).
 
     Null and empty pages give ''; repeated rows give equal texts; broken markup is read as far as
-    it makes sense and never fails. Columns text and n_chars are replaced.
+    it makes sense and never fails; a page of any length takes time in proportion to it and memory
+    of some hundred bytes a tag. Columns text and n_chars are replaced.
     """
     keep = [c for c in keep if c not in ("text", "n_chars")]
     df = pages.select(*dict.fromkeys([*keep, "html"]))

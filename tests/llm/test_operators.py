@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -241,6 +242,43 @@ def test_main_text(spark):
     assert out[1] == "T & t\nFirst words here, and some more of them.\nSecond." and out[2] == out[3] == ""
 
 
+def test_only_the_cut_gives_the_right_text():
+    """Short lines between paragraphs are content, long ones between menu entries are not."""
+    long = "A whole sentence of text, with a comma, that is long enough to be content by itself."
+    page = f"<body><div><a href=a>One</a></div><div><a href=b>Two</a></div><div>An entry of rather many words that stands among links in a list of links and, with all these words, looks like text.</div><div><a href=c>Three</a></div><div><a href=d>Four</a></div><article><h1>Head</h1><p>{long}</p><div>x</div><p>{long}</p><div>y z</div><p>{long}</p></article>"
+    items = html_extract.blocks(page)
+    alone = [html_extract.preference(b) > 0 for b in items]
+    assert [b.text for b, k in zip(items, alone) if k] != html_extract.main_text(page).split("\n")
+    assert html_extract.main_text(page) == "\n".join(["Head", long, "x", long, "y z", long])
+
+
+def test_hostile_pages_take_linear_time():
+    n = 60_000
+    started = time.time()
+    for page in ("<div>some words here " * n, '<a "' * n, "<a \">\" " * n + "'", "<b>x</i><p>" * n, "</p></div>" * n, "<!--" * n, "<p>x<script>" * n, "<" * n):
+        html_extract.main_text(f"<article>{page}")
+    assert time.time() - started < 90
+    text = "A sentence, which has a few words more than one line, and which ends here."
+    assert html_extract.main_text(f"<article><h1>T here.</h1><title-bar/><p>{text}</p><math><mi>x</mi></math><noscript>{text}</noscript></article>") == f"T here.\n{text}\nx {text}".replace("x A", "xA")
+
+
+def test_pages_of_the_table(spark):
+    """On these pages the article element holds the main text and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    moved = total = 0
+    for row in html_extract.extract(pages, ["page_id", "html"]).collect():
+        items = html_extract.blocks(row["html"] or "")
+
+        def inside(e):
+            return e is not None and (e.tag == "article" or inside(e.parent))
+
+        assert row["text"] == "\n".join(b.text for b in items if inside(b.element)) and row["n_chars"] == len(row["text"])
+        scores = [html_extract.preference(b) for b in items]
+        moved += sum((x > 0) != k for x, k in zip(scores, html_extract.minimum_cut(scores, html_extract.edges(items))))
+        total += len(items)
+    assert 0 < moved < total / 10
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(600, 12)) * rng.uniform(0.5, 2, (600, 1))
