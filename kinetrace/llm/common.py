@@ -176,17 +176,19 @@ class Words:
         return at, mix64(total[at] + U64(n))
 
 
-_LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 and not 0xD800 <= i < 0xE000 else i for i in range(1 << 16)], dtype=np.uint16)
-#: Letters and digits of the basic plane; letters only.
-_ALNUM = np.array([not 0xD800 <= i < 0xE000 and chr(i).isalnum() for i in range(1 << 16)])
-IS_LETTER = np.array([not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(1 << 16)])
+#: Code points from here on are no letters (none is assigned); the last one below stands for them.
+CODE_POINTS = 0x34000
+_LOWER_CASE = np.array([ord(c) if len(c := chr(i).lower()) == 1 and not 0xD800 <= i < 0xE000 else i for i in range(CODE_POINTS)], dtype=np.uint32)
+#: Letters and digits; letters only.
+_ALNUM = np.array([not 0xD800 <= i < 0xE000 and chr(i).isalnum() for i in range(CODE_POINTS)])
+IS_LETTER = np.array([not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(CODE_POINTS)])
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points (above the basic plane: 0xFFFF) and offsets in characters."""
+    """Lower-cased code points (below CODE_POINTS) and offsets in characters."""
     cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return _LOWER[np.minimum(cp, 0xFFFF)], heads[offsets]
+    return _LOWER_CASE[np.minimum(cp, CODE_POINTS - 1)], heads[offsets]
 
 
 def word_bounds(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,13 +1,13 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 Each language has a Bloom filter of its frequent character 3- and 4-grams; the filters share their
-hash functions and are stored bit-sliced: cell i holds a bitmask with one bit for each language.
-One look-up (the AND of HASHES cells) returns all languages that contain an n-gram. A text's count
+hash functions and are stored bit-sliced: cell i holds a bitmask with one bit for each language, in
+as many words of 64 bits as the languages need. One look-up (the AND of HASHES cells) returns all languages that contain an n-gram. A text's count
 for a language is the number of its n-grams with that bit; with the filter's false-positive rate p
 (its fill to the power HASHES) the share of true members is estimated as (count / n - p) / (1 - p).
 The language with the greatest estimate wins.
 
-The filters have a fixed size, whatever the number of documents: MAX_GRAMS n-grams a language.
+The filters' size depends on the languages alone, not on the documents: MAX_GRAMS n-grams a language.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.llm.common import IS_LETTER, U64, Scratch, code_points, mix64, text_chunks
-from kinetrace.llm.learning import hash_share, held_out
+from kinetrace.llm.common import IS_LETTER, U64, Scratch, code_points, mix64, stable_hash, text_chunks
+from kinetrace.llm.learning import held_out, share_limit
 
 CELL_BITS, HASHES = 20, 2
-#: Bounds of the fit: training rows read, n-grams a language, languages (64 a mask).
-SAMPLE_ROWS, MAX_GRAMS, MAX_LANGUAGES = 20_000, 50_000, 64
+#: Bounds of the fit: training rows read (one a language at least), n-grams a language.
+SAMPLE_ROWS, MAX_GRAMS = 20_000, 50_000
 #: An n-gram belongs to a language in which it is at least this share as frequent as in its best one.
 MEMBER_SHARE = 0.2
 _SPACE = 0x20
@@ -43,7 +43,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     letter = IS_LETTER[cp]
     has_letter = np.diff(np.concatenate([[0], np.cumsum(letter)])[rows_at]) > 0
     # two spaces between rows, so that no gram with letters inside crosses
-    stream = np.full(len(cp) + 2 * n_rows + 2, _SPACE, dtype=np.uint16)
+    stream = np.full(len(cp) + 2 * n_rows + 2, _SPACE, dtype=np.uint32)
     shift = np.repeat(2 * np.arange(n_rows) + 2, lengths)
     stream[np.arange(len(cp)) + shift] = np.where(letter, cp, _SPACE)
     inner = stream != _SPACE
@@ -72,12 +72,12 @@ class LanguageFilters:
     def __init__(self, members: dict[str, np.ndarray], weights: dict[str, int]):
         """members: the n-gram hashes of each language; weights: its training rows."""
         self.names = sorted(members)
-        self.cells = np.zeros(1 << CELL_BITS, dtype=U64)
+        self.cells = np.zeros((-(-len(members) // 64), 1 << CELL_BITS), dtype=U64)
         self.false_rate = np.zeros(len(self.names))
         for l, name in enumerate(self.names):
             for k in range(HASHES):
-                np.bitwise_or.at(self.cells, _cells(members[name], k), U64(1 << l))
-            fill = ((self.cells >> U64(l)) & U64(1)).mean()
+                self.cells[l // 64, np.unique(_cells(members[name], k))] |= U64(1 << l % 64)
+            fill = ((self.cells[l // 64] >> U64(l % 64)) & U64(1)).mean()
             self.false_rate[l] = fill**HASHES
         self.default = max(range(len(self.names)), key=lambda l: (weights.get(self.names[l], 0), -l)) if self.names else 0
 
@@ -87,13 +87,14 @@ class LanguageFilters:
         row, h, has_letter = grams(raw, offsets)
         if not self.names:
             return np.full(n_rows, -1), np.zeros(n_rows)
-        mask = self.cells[_cells(h, 0)]
-        for k in range(1, HASHES):
-            mask &= self.cells[_cells(h, k)]
         n = np.maximum(1, np.bincount(row, minlength=n_rows))
         share = np.empty((n_rows, len(self.names)))
         for l, p in enumerate(self.false_rate):
-            count = np.bincount(row, weights=((mask >> U64(l)) & U64(1)).astype(np.float64), minlength=n_rows)
+            if l % 64 == 0:
+                mask = self.cells[l // 64, _cells(h, 0)]
+                for k in range(1, HASHES):
+                    mask &= self.cells[l // 64, _cells(h, k)]
+            count = np.bincount(row, weights=((mask >> U64(l % 64)) & U64(1)).astype(np.float64), minlength=n_rows)
             share[:, l] = np.maximum(0.0, (count / n - p) / (1 - p))
         total = share.sum(axis=1)
         best = np.where(total > 0, share.argmax(axis=1), self.default)
@@ -120,20 +121,19 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
-    """Filters from about sample_rows rows with a language outside the held-out fold.
+    """Filters of all languages from about sample_rows rows with one outside the held-out fold.
 
-    Of more than MAX_LANGUAGES languages the most frequent are learned.
+    The driver holds a count and up to MAX_GRAMS n-grams of each language.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     # as many rows of each language as of any other, where there are enough
     each = max(1, sample_rows // max(1, len(sizes)))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & hash_share("doc_id", each, n))
-    counts = scratch.keep(rows.where(chosen).select("text", "lang").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    table = spark.createDataFrame([(lang, share_limit(each, n)) for lang, n in sizes.items()], "lang string, upto long")  # one row a language
+    chosen = rows.join(F.broadcast(table), "lang").where(stable_hash(11, "doc_id") <= F.col("upto"))
+    counts = scratch.keep(chosen.select("text", "lang").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))

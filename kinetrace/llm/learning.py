@@ -35,8 +35,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def hash_share(doc_id: str, bound: int, rows: int) -> Column:
     """True for about `bound` of `rows` rows, chosen by a hash of the id."""
-    share = min(1.0, bound / max(1, rows))
-    return stable_hash(11, doc_id) <= int(share * (1 << 20)) * (1 << 43) - 1
+    return stable_hash(11, doc_id) <= share_limit(bound, rows)
+
+
+def share_limit(bound: int, rows: int) -> int:
+    """The greatest hash of the chosen rows."""
+    return int(min(1.0, bound / max(1, rows)) * (1 << 20)) * (1 << 43) - 1
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, bound: int, scratch: Scratch, name: str) -> DataFrame:

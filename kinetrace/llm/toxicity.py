@@ -2,9 +2,9 @@
 
 A lexicon of words and stems is learned from labelled training rows. All words within the allowed
 edit distance of a term (1 for whole words from FUZZY_FROM characters, else 0) are recognised by
-one automaton: the intersection of the terms' Levenshtein automata with the lexicon trie, made
-deterministic once on the driver. Every word of every text runs through it, all words of a chunk
-at a time, and most leave it after a few letters. Words near a term that clean training rows use
+automata of up to AUTOMATON_TERMS terms: the intersection of the terms' Levenshtein automata with the
+lexicon trie, made deterministic once on the driver. Every word of every text runs through them, all
+words of a chunk at a time, and most leave after a few letters. Words near a term that clean training rows use
 are exceptions and don't count. A hit counts by its term's log-odds, less when misspelled, and
 still less between quotation marks within CONTEXT characters: quotation, not abuse; hits close to
 each other add up. A logistic model over these sums gives the score.
@@ -22,18 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.llm.common import Scratch, code_points, text_chunks, word_bounds
+from kinetrace.llm.common import CODE_POINTS, Scratch, code_points, text_chunks, word_bounds
 from kinetrace.llm.learning import fit_logistic, held_out, training_sample
 
-#: Bounds of the fit: labelled rows, candidate terms, lexicon terms.
-SAMPLE_ROWS, MAX_CANDIDATES, MAX_TERMS = 20_000, 20_000, 96
+#: Labelled rows that the model is fitted on; terms of one automaton (a larger lexicon has several).
+SAMPLE_ROWS, AUTOMATON_TERMS = 20_000, 96
 MIN_SUPPORT, MIN_ODDS = 6, 8.0
 FUZZY_FROM, CONTEXT, NEAR_WORDS = 5, 60, 12
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
-MAX_WORD = 32
 
 #: Quotation marks (fixed values).
-_QUOTES = np.isin(np.arange(1 << 16), [ord(c) for c in "\"“”„«»‹›"])
+_QUOTES = np.isin(np.arange(CODE_POINTS), [ord(c) for c in "\"“”„«»‹›"])
 
 #: What a misspelled hit and a quoted hit count of an exact, unquoted one.
 MISSPELLED, QUOTED = 0.7, 0.25
@@ -53,9 +52,9 @@ class Automaton:
     def __init__(self, terms: list[tuple[str, bool, float]], exceptions: frozenset = frozenset()):
         self.terms, self.exceptions = terms, exceptions
         letters = sorted({c for t, _, _ in terms for c in t})
-        self.classes = np.zeros(1 << 16, dtype=np.int16)
+        self.classes = np.zeros(CODE_POINTS, dtype=np.int16)
         for i, c in enumerate(letters):
-            self.classes[min(ord(c), 0xFFFF)] = i + 1
+            self.classes[ord(c)] = i + 1
         children: list[dict[str, int]] = [{}]
         accepts: dict[int, int] = {}
         allowed = [0]
@@ -125,7 +124,7 @@ class Automaton:
             better = (found[:, 0] > 0) & (found[:, 1] <= dist[words])
             best[words[better]], dist[words[better]] = found[better, 0], found[better, 1]
 
-        while len(alive) and at <= MAX_WORD:
+        while len(alive):
             done = ends[alive] - starts[alive] == at
             if done.any():
                 take(alive[done], self.whole[state[done]])
@@ -142,11 +141,30 @@ class Automaton:
         return hit, best[hit] - 1, dist[hit]
 
 
+class Lexicon:
+    """The automata of all terms: what any of them finds, the nearest and then the heaviest term."""
+
+    def __init__(self, terms: list[tuple[str, bool, float]], exceptions: frozenset = frozenset()):
+        self.terms = terms
+        self.parts = [(lo, Automaton(terms[lo : lo + AUTOMATON_TERMS], exceptions)) for lo in range(0, len(terms), AUTOMATON_TERMS)]
+
+    def run(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word index, term, distance) of the words that match, in order."""
+        z = np.zeros(0, np.int64)
+        found = [(z, z, z)] + [(w, t + lo, d) for lo, part in self.parts for w, t, d in [part.run(cp, starts, ends)]]
+        word, term, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((term, -np.array([w for _, _, w in self.terms] or [0.0])[term], dist, word))
+        word, term, dist = word[order], term[order], dist[order]
+        first = np.ones(len(word), dtype=bool)
+        first[1:] = word[1:] != word[:-1]
+        return word[first], term[first], dist[first]
+
+
 def spelled(cp: np.ndarray) -> str:
-    return cp.tobytes().decode("utf-16-le", "replace")
+    return cp.tobytes().decode("utf-32-le", "replace")
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, automaton: Automaton) -> np.ndarray:
+def features(raw: np.ndarray, offsets: np.ndarray, automaton: Lexicon) -> np.ndarray:
     """One line of FEATURES for each row of a chunk."""
     cp, rows_at = code_points(raw, offsets)
     starts, ends, bounds = word_bounds(cp, rows_at)
@@ -183,10 +201,10 @@ def _candidates(text: str) -> set[str]:
     """Words ('=word') and stems ('word-start') of one text."""
     cp, rows_at = code_points(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())]))
     starts, ends, _ = word_bounds(cp, rows_at)
-    flat = cp.tobytes().decode("utf-16-le", "replace")
+    flat = cp.tobytes().decode("utf-32-le", "replace")
     out = set()
     for word in {flat[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}:
-        if 3 <= len(word) <= MAX_WORD:
+        if len(word) >= 3:
             out.add("=" + word)
             out.update(word[:k] for k in STEM_LENGTHS if k < len(word))
     return out
@@ -207,12 +225,15 @@ def _count_terms(sample: DataFrame, known: frozenset | None) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """Terms (text, is_stem, log-odds) that tell toxic rows from clean ones; at most MAX_TERMS."""
+    """Terms (text, is_stem, log-odds) that tell toxic rows from clean ones.
+
+    What a chosen stem covers adds nothing, but for whole words long enough to be met misspelled.
+    """
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic:
         return []
-    common = _count_terms(sample.where("y = 1"), None).where(F.col("toxic") >= MIN_SUPPORT).orderBy(F.desc("toxic"), "term").limit(MAX_CANDIDATES)
+    common = _count_terms(sample.where("y = 1"), None).where(F.col("toxic") >= MIN_SUPPORT)
     known = frozenset(r["term"] for r in common.select("term").collect())
     counts = {r["term"]: (r["toxic"], r["clean"]) for r in _count_terms(sample, known).collect()}
     ranked = []
@@ -220,23 +241,27 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
         odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
         if odds >= math.log(MIN_ODDS):
             ranked.append((toxic * odds, term, odds))
-    chosen: dict[str, tuple[bool, float]] = {}
+    stems: dict[str, float] = {}
+    words: dict[str, float] = {}
+    starts: set[str] = set()  # of all chosen terms
     # of terms that tell as much, whole words come first: they can be met misspelled
     for _, term, odds in sorted(ranked, key=lambda x: (-x[0], not x[1].startswith("="), -len(x[1]), x[1])):
         whole = term.startswith("=")
         text = term.lstrip("=")
-        # what a chosen stem covers, or a shorter stem that a chosen term stands for, adds nothing
-        if text in chosen or any((s and text.startswith(c)) or c.startswith(text) for c, (s, _) in chosen.items()):
+        covered = any(text[:k] in stems for k in range(1, len(text) + 1))
+        if whole and (not covered or Automaton.distance(text, False)):
+            words[text] = odds
+        elif not whole and not covered and text not in starts:  # a shorter stem than a chosen term says the same
+            stems[text] = odds
+        else:
             continue
-        chosen[text] = (not whole, odds)
-        if len(chosen) == MAX_TERMS:
-            break
-    return [(text, stem, odds) for text, (stem, odds) in sorted(chosen.items())]
+        starts.update(text[:k] for k in range(1, len(text) + 1))
+    return sorted([(t, False, odds) for t, odds in words.items()] + [(t, True, odds) for t, odds in stems.items()])
 
 
 def learn_exceptions(sample: DataFrame, terms: list[tuple[str, bool, float]]) -> frozenset:
-    """Words near a term, but not equal to one, that clean training rows use; at most MAX_CANDIDATES."""
-    shared = sample.sparkSession.sparkContext.broadcast(Automaton(terms))
+    """Words near a term, but not equal to one, that clean training rows use."""
+    shared = sample.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -249,12 +274,12 @@ def learn_exceptions(sample: DataFrame, terms: list[tuple[str, bool, float]]) ->
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     words = sample.where("y = 0").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in words.orderBy(F.desc("n"), "word").limit(MAX_CANDIDATES).collect())
+    return frozenset(r["word"] for r in words.select("word").collect())
 
 
 class ToxicityModel:
     def __init__(self, terms: list[tuple[str, bool, float]], exceptions: frozenset, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.automaton = Automaton(terms, exceptions)
+        self.automaton = Lexicon(terms, exceptions)
         self.mean, self.scale, self.weights = mean, scale, weights
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -272,7 +297,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     sample = training_sample(documents, labels, "toxic", sample_rows, scratch, "toxicity_sample")
     terms = learn_lexicon(sample)
     exceptions = learn_exceptions(sample, terms)
-    shared = sample.sparkSession.sparkContext.broadcast(Automaton(terms, exceptions))
+    shared = sample.sparkSession.sparkContext.broadcast(Lexicon(terms, exceptions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

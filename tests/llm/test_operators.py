@@ -224,6 +224,44 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in good]) > 0.9
 
 
+def test_letters_above_the_basic_plane_and_many_languages(spark):
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(560)]
+    tongue = lambda k: "".join(rng.choice([*letters[8 * k : 8 * k + 8], " "]) for _ in range(150))
+    rows = [(70 * i + k, tongue(k), f"l{k:02}") for i in range(8) for k in range(70)]
+    rows += [(9001, "\U00010330\U00010331\U00010332" * 3, None), (9002, "\U00020BB7" * 3, None), (9003, "12 \U0001F600 !", None), (9004, None, None)]
+    found = {r["doc_id"]: r for r in language.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([found[i]["lang_pred"] == lang for i, _, lang in rows[:560]]) > 0.97
+    assert found[9001]["lang_pred"] != "und" != found[9002]["lang_pred"] and found[9003]["lang_pred"] == found[9004]["lang_pred"] == "und"
+
+
+def test_lexicon_of_many_terms_keeps_whole_words(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    bad, long = [word(7) for _ in range(250)], "w" + "xyz" * 15
+    plain = lambda: " ".join(rng.choice(["aa", "ee", "oo", "iou", "uia", "eau"]) for _ in range(30))
+    toxic = [f"{plain()} {b} {long} {plain()} {rng.choice(['idiot', 'idiots'])}" for b in bad for _ in range(7)]
+    sample = spark.createDataFrame([(t, 1) for t in toxic] + [(plain(), 0) for _ in toxic], "text string, y int")
+    terms = toxicity.learn_lexicon(sample)
+    assert {b for b in bad} | {"idiot", "idiots", long} <= {t for t, stem, _ in terms if not stem} and len(terms) > 2 * toxicity.AUTOMATON_TERMS
+    cases = [*bad, *(b[:3] + "a" + b[4:] for b in bad), "idi0t", "\U00010330idiot", long, long[:-1] + "a", "aa", "eau"]
+    cp = np.frombuffer(" ".join(cases).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(c) + 1 for c in cases]) - 1
+    hit = toxicity.Lexicon(terms).run(cp, ends - [len(c) for c in cases], ends)[0]
+    assert set(hit.tolist()) == set(range(len(cases) - 2))
+
+
+def test_a_misspelled_term_alone_makes_a_text_toxic(spark):
+    rng = random.Random(3)
+    plain = lambda: " ".join(rng.choice(["aa", "eeoo", "ooi", "iou", "uia", "eau"]) for _ in range(25))
+    rows = [(i, plain() + (" you wretchedfool " if i % 4 == 0 else " ") + plain()) for i in range(400)]
+    odd = [(1000, plain() + " you wretchedf00l " + plain()), (1001, plain() + " you wretchetfool " + plain()), (1002, plain())]
+    documents = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.digest(documents, labels).collect()}
+    assert all(found[i] == (i % 4 == 0) for i in range(400)) and found[1001] == 1 and found[1002] == 0
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(5)
     for _ in range(60):
