@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in each shard.
 
-Rows are dealt to shards of about SHARD_ROWS by a hash of their id. In a shard, equal vectors are
+Rows are dealt by a hash of their id to at most SHARDS shards of SHARD_ROWS rows or more (beyond
+MOST_ROWS a shard, to more of them), so a search visits few shards however many rows there are. In a shard, equal vectors are
 one node. Vectors get one more coordinate, so that nearness by distance is nearness by inner
 product. The graph starts at random; in two passes over all nodes, a greedy search from the entry
 point proposes neighbours for a node, and pruning keeps the nearest one and drops what is closer
 to a kept neighbour (by the factor ALPHA) than to the node, and so on: few, but diverse edges.
-Reverse edges are added and pruned alike. A query runs a beam search in every shard; the shards'
+Reverse edges are added and pruned alike, and one more edge a node makes every node reachable. A query runs a beam search in every shard; the shards'
 best are merged. Scores are computed on the original vectors, in double precision.
 
 A shard and a block of queries are the unit of work, and both are bounded.
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.common import Scratch, stable_hash
 
-SHARD_ROWS, QUERY_BLOCK = 8192, 4096
+SHARD_ROWS, SHARDS, MOST_ROWS, QUERY_BLOCK = 8192, 64, 262_144, 4096
 DEGREE, ALPHA = 32, 1.2
 BUILD_BEAMS, SEARCH_BEAM, EXPAND = (40, 64), 96, 4
-BATCH = 512
+#: Searches that run side by side, and the cells that they may mark as seen.
+BATCH, SEEN_CELLS = 512, 1 << 25
 
 INDEX = "dim int, shard int, n int, node_of binary, ids binary, vectors binary, graph binary, entry int"
 FOUND = "query_id long, vec_id long, score double"
@@ -93,30 +95,59 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray,
         if not ok.any():
             break
         out[ok, k] = cand[lines[ok], pick[ok]]
-        alive &= ~((alpha * alpha * between[lines, pick] <= own) & ok[:, None])
+        alive &= ~((alpha * alpha * between[lines, pick] < own) & ok[:, None])
         alive[lines, pick] = False
     return out
 
 
 def build_graph(points: np.ndarray, seed: int = 3) -> tuple[np.ndarray, int]:
-    """(graph: n x DEGREE with -1 for none, entry node) over distinct points."""
+    """(graph: n x DEGREE + 1 with -1 for none, entry node) over distinct points."""
     n = len(points)
     rng = np.random.default_rng(seed)
     degree = min(DEGREE, max(1, n - 1))
     graph = np.full((n, DEGREE), -1, dtype=np.int64)
     if n == 1:
-        return graph, 0
+        return np.full((1, DEGREE + 1), -1, dtype=np.int64), 0
+    batch = max(1, min(BATCH, SEEN_CELLS // n))
     graph[:, : degree // 2 + 1] = rng.integers(0, n, (n, degree // 2 + 1))
     centre = points.mean(axis=0)
     entry = int(((points - centre) ** 2).sum(axis=1).argmin())
     for beam, alpha in zip(BUILD_BEAMS, (1.0, ALPHA), strict=True):
         order = rng.permutation(n)
-        for lo in range(0, n, BATCH):
-            nodes = order[lo : lo + BATCH]
+        for lo in range(0, n, batch):
+            nodes = order[lo : lo + batch]
             pool, _ = beam_search(points, graph, entry, points[nodes], beam)
             graph[nodes] = robust_prune(points, nodes, np.concatenate([pool, graph[nodes]], axis=1), DEGREE, alpha)
             _add_reverse(points, graph, nodes, alpha)
-    return graph, entry
+    return np.column_stack([graph, _bridges(points, graph, entry)]), entry
+
+
+def _bridges(points: np.ndarray, graph: np.ndarray, entry: int) -> np.ndarray:
+    """One more edge for some nodes, so that every node can be reached from the entry (-1: none).
+
+    A node that can't be reached gets its edge from the nearest free one of those that its own
+    search finds, or else from the last node that was bridged to, which is always free.
+    """
+    extra = np.full(len(points), -1, dtype=np.int64)
+    reached = np.zeros(len(points), dtype=bool)
+    last = entry
+
+    def spread(front: np.ndarray) -> None:
+        while len(front):
+            reached[front] = True
+            near = graph[front].ravel()
+            front = np.unique(near[near >= 0])
+            front = front[~reached[front]]
+
+    spread(np.array([entry]))
+    for node in np.flatnonzero(~reached).tolist():
+        if not reached[node]:
+            pool = beam_search(points, graph, entry, points[node : node + 1], BUILD_BEAMS[0])[0][0]
+            free = pool[(pool >= 0) & (extra[pool] < 0)]
+            extra[free[0] if len(free) else last] = node
+            last = node
+            spread(np.array([node]))
+    return extra
 
 
 def _add_reverse(points: np.ndarray, graph: np.ndarray, nodes: np.ndarray, alpha: float) -> None:
@@ -170,7 +201,7 @@ def _searcher(k: int, beam: int) -> Callable:
         row = {c: index.column(c)[0].as_py() for c in index.column_names}
         n, dim = row["n"], row["dim"]
         vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
-        graph = np.frombuffer(row["graph"], np.int32).reshape(n, DEGREE).astype(np.int64)
+        graph = np.frombuffer(row["graph"], np.int32).reshape(n, DEGREE + 1).astype(np.int64)
         ids, node_of = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["node_of"], np.int32)
         starts = np.searchsorted(node_of, np.arange(n + 1))
         points = _lifted(vectors)
@@ -180,8 +211,9 @@ def _searcher(k: int, beam: int) -> Callable:
         unit = targets / np.sqrt((targets * targets).sum(axis=1))[:, None] * scale
         unit = np.column_stack([unit, np.zeros(len(unit))])
         out: list[tuple] = []
-        for lo in range(0, len(query_ids), BATCH):
-            pool, _ = beam_search(points, graph, row["entry"], unit[lo : lo + BATCH], beam)
+        batch = max(1, min(BATCH, SEEN_CELLS // n))
+        for lo in range(0, len(query_ids), batch):
+            pool, _ = beam_search(points, graph, row["entry"], unit[lo : lo + batch], beam)
             for r, nodes in enumerate(pool):
                 q = query_ids[lo + r]
                 nodes = nodes[nodes >= 0]
@@ -217,7 +249,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
     """
     scratch = Scratch(embeddings.sparkSession)
     rows = scratch.keep(usable(embeddings), "rows")
-    shards = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(F.col("dim").alias("_dim"), F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
+    shards = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(F.col("dim").alias("_dim"), F.ceil(F.col("n") / F.least(F.lit(MOST_ROWS), F.greatest(F.lit(shard_rows), F.col("n") / SHARDS))).cast("int").alias("shards"))
     asked = usable(queries)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     dealt = rows.join(F.broadcast(shards), F.col("dim") == F.col("_dim")).withColumn("shard", F.pmod(stable_hash(21, "vec_id"), F.col("shards")).cast("int"))

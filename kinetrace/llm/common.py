@@ -208,6 +208,14 @@ def word_bounds(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def guarded(df: DataFrame, known: list[str], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """df without the replaced columns and with all but the known ones renamed, so that names of a
+    caller's columns can't clash with an operator's own; the inner names and the caller's."""
+    names = [c for c in df.columns if c not in replaced]
+    inner = [c if c in known else f"_c{i}" for i, c in enumerate(names)]
+    return df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)]), inner, names
+
+
 def stable_hash(seed: int, *cols: Column | str) -> Column:
     """A non-negative 63-bit hash of the columns, the same wherever a row is computed again."""
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit((1 << 63) - 1))

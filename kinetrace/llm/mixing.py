@@ -21,10 +21,10 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import Scratch, blocks_for, group_ranks, stable_hash
+from kinetrace.llm.common import Scratch, blocks_for, group_ranks, guarded, stable_hash
 
 BLOCK_ROWS = 16
 #: The driver holds this many slots at once; a row of the plan has up to CHUNK blocks of a source.
@@ -106,7 +106,7 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
     """
     spark = documents.sparkSession
     names = ("block", "phase", "slot", "in_block", "release", "deadline")
-    docs = documents.drop(*names, "_source", "_h", "_r", "_key")
+    docs, inner, given = guarded(documents, ["doc_id", "source", "text"], names)
     # "=" before a name keeps a missing source apart from any that is named
     docs = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     docs = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if "text" in docs.columns else F.lit(0).cast("long"))
@@ -128,7 +128,7 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
     chunk = F.floor(F.col("block") / CHUNK).cast("long")
     placed = ranked.join(table, (F.col("_source") == F.col("_plan_source")) & (chunk == F.col("_plan_chunk")) & (at >= 0) & (at < F.size("_plan_slot")))
     out = placed.select("*", *[F.element_at(f"_plan_{c}", (at + 1).cast("int")).alias(c) for c in ("phase", "slot", "release", "deadline")])
-    return out.select(*[c for c in docs.columns if c not in ("_source", "_h", "_key")], *names)
+    return out.select(*inner, *names).toDF(*given, *names)
 
 
 def _plan(scratch: Scratch, placed: Iterator[tuple]) -> DataFrame:
@@ -149,7 +149,25 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def mixed_order(documents: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """documents, all rows and the same columns, in the order of the mixture."""
-    names = documents.columns
-    inner = documents.toDF(*[c if c in ("doc_id", "text", "source") else f"_c{i}" for i, c in enumerate(names)])
-    return mix(inner, weights).orderBy("slot", "in_block").select(*inner.columns).toDF(*names)
+    """documents, all rows and the same columns, in the order of the mixture.
+
+    Once written, written_order() tells the order again.
+    """
+    docs, inner, names = guarded(documents, ["doc_id", "text", "source"])
+    return mix(docs, weights).orderBy("slot", "in_block").select(*inner).toDF(*names)
+
+
+def written_order(written: DataFrame, name: str = "mixture_slot") -> DataFrame:
+    """written with each row's place (from 0) in the order in which its table was written.
+
+    The files of a sorted table follow each other by name, and the rows in each file; one count a
+    file tells where it starts. Null for a table that wasn't read from files. A column of this
+    name is replaced.
+    """
+    if not written.inputFiles():
+        return written.withColumn(name, F.lit(None).cast("long"))
+    docs, inner, names = guarded(written, [], (name,))
+    at = docs.select(*inner, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_start"))
+    return at.join(starts, "_file").select(*inner, (F.col("_start") + F.col("_row")).alias(name)).toDF(*names, name)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.common import U64, PrefixHash, Scratch, text_chunks
+from kinetrace.llm.common import U64, PrefixHash, Scratch, guarded, text_chunks
 
 WINDOW, PREFIX = 200, 140
 BATCHES = 4
@@ -416,7 +416,8 @@ def remove_repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     A cut may split a character, so kept is binary. Null counts as empty; texts under WINDOW bytes
     lose nothing; all of repeated rows lose everything. Columns spans and kept are replaced.
     """
-    docs = documents.drop("spans", "kept", "h1", "h2").select("*", *text_keys())
+    docs, inner, names = guarded(documents, ["text"], ("spans", "kept"))
+    docs = docs.select("*", *text_keys())
     found = repeated_spans(documents, batches).select("h1", "h2", "spans")
     joined = docs.join(found, ["h1", "h2"], "left").drop("h1", "h2")
     raw = F.encode(_text(), "UTF-8")
@@ -424,7 +425,8 @@ def remove_repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
     ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(n.cast("long")))
     parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.hex(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))))
-    return joined.withColumn("kept", F.when(F.col("spans").isNull(), raw).otherwise(F.unhex(F.array_join(parts, ""))))
+    kept = F.when(F.col("spans").isNull(), raw).otherwise(F.unhex(F.array_join(parts, "")))
+    return joined.select(*inner, "spans", kept.alias("kept")).toDF(*names, "spans", "kept")
 
 
 def digest(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
