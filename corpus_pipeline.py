@@ -1,8 +1,13 @@
 """A training-data pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
-columns of documents. Stages read whole tables and keep every clean document; the mixing stage
-orders rows, the sharding stage returns the place of every row.
+columns of documents. Stages read whole tables and keep every clean document. The mixing stage
+orders rows; the sharding stage reads that order off the written table and returns it with the
+shard and slot of every row.
+
+Null and empty texts are clean, have no near copies and stay; repeated rows are near copies, of
+which one stays; rows without a source are a source of their own; ties go to the smaller doc_id;
+further columns of documents are kept, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    return sharding.shard_documents(docs)
+    """The shard and slot of every document, and its place in the mixture (null if docs isn't a written table)."""
+    return sharding.shard_documents(mixing.written_order(docs), carry=("mixture_slot",))
 
 
 STAGES = [
