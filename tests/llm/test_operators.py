@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrace.llm import ann, decontamination, html_extract, language, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
 
@@ -332,3 +333,55 @@ def test_nearest(spark):
         recall.append(len(set(want) & set(g["vec_id"])) / 20)
     assert len(recall) == 30 and np.mean(recall) > 0.95
     assert ann.nearest(table.where("false"), table.where("false")).count() == 0
+
+
+def test_every_node_is_reachable():
+    rng = np.random.default_rng(1)
+    for points in (np.eye(200), np.column_stack([np.eye(70), np.ones(70)]), rng.normal(size=(300, 4)), np.concatenate([rng.normal(size=(150, 3)), 1e6 + rng.normal(size=(150, 3))])):
+        graph, entry = ann.build_graph(ann._lifted(points))
+        seen, front = {entry}, [entry]
+        while front:
+            front = [int(y) for x in front for y in graph[x] if y >= 0 and int(y) not in seen and not seen.add(int(y))]
+        assert len(seen) == len(points)
+
+
+def test_clashing_names(spark, docs):
+    """Extra columns named as the operators' own come through with their values."""
+    names = ["_h1", "_h2", "_p", "_r", "h1", "h2", "n", "first", "_source", "_block", "_n", "_rank", "_start", "_key", "_h"]
+    odd = docs
+    for k, c in enumerate(names):
+        odd = odd.withColumn(c, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    want = Counter(tuple(r) for r in odd.select("doc_id", *names).collect())
+    for out in (mixing.mix(odd), mixing.mixed_order(odd), sharding.shard(odd, 3, ["doc_id", "text"]), suffix_dedup.remove_repeats(odd)):
+        assert Counter(tuple(r) for r in out.select("doc_id", *names).collect()) == want
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage on a small table with nulls, repeats, near copies and clashing names."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(2)
+    base = words(rng, 80)
+    item = " ".join(f"q{k}" for k in range(20))
+    texts = [base, base, base + " more", words(rng, 50), item + " " + words(rng, 10), None, "", "", words(rng, 40)] + [words(rng, 30) for _ in range(20)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, 0) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[0]], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = docs.collect()
+        if name != "sharding":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    ids = lambda name: sorted(r["doc_id"] for r in seen[name])
+    assert ids("toxicity") == sorted([*range(29), 0])
+    assert ids("near_duplicates") == [i for i in range(29) if i not in (1, 2)]
+    assert ids("decontamination") == [i for i in range(29) if i not in (1, 2, 4)] == ids("mixing") == ids("sharding")
+    places = {r["doc_id"]: r["mixture_slot"] for r in seen["sharding"]}
+    assert sorted(places.values()) == list(range(26))
+    want = mixing.mix(spark.read.parquet(f"{tmp_path}/decontamination")).orderBy("slot", "in_block").collect()
+    assert [r["doc_id"] for r in want] == sorted(places, key=places.get)
+    assert Counter(r["shard"] for r in seen["sharding"]).most_common(1)[0][1] == 1
+    assert Counter(map(tuple, pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(tuple, seen["sharding"]))
