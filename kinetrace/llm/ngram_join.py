@@ -342,11 +342,17 @@ def _cross_pairs(live: DataFrame) -> DataFrame:
     that they share stands among the first n - o + 1 of each.
     """
     early = live.where(F.col("pos") <= F.col("n") - F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}") + 1)
-    comps = early.select("token", "comp").distinct()
-    across = comps.select("token", F.col("comp").alias("ca")).join(comps.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    side = lambda x: early.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "pos")])
-    overlap = F.expr(f"({NUMERATOR} * (na + nb) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
-    met = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")) & (F.col("posa") <= F.col("na") - overlap + 1) & (F.col("posb") <= F.col("nb") - overlap + 1))
+    early = early.withColumn("room", (NUMERATOR + DENOMINATOR) * (F.lit(1) - F.col("pos")) + DENOMINATOR * F.col("n"))
+    # posa is early enough for b where 4 n_b is at most a's room; a component has the bounds of its classes
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room")]
+    comps = early.groupBy("token", "comp").agg(*bounds)
+    of = lambda df, x: df.select("token", *[F.col(c).alias(f"{c[0] if c == 'comp' else c}{x}") for c in df.columns if c != "token"])
+    may_meet = (NUMERATOR * F.col("lowb") <= F.col("rooma")) & (NUMERATOR * F.col("lowa") <= F.col("roomb")) & (DENOMINATOR * F.col("higha") >= NUMERATOR * F.col("lowb")) & (DENOMINATOR * F.col("highb") >= NUMERATOR * F.col("lowa"))
+    across = of(comps, "a").join(of(comps, "b"), "token").where((F.col("ca") < F.col("cb")) & may_meet)
+    side = lambda x: early.select("token", F.col("comp").alias(f"c{x}"), F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("room").alias(f"r{x}"))
+    some = (NUMERATOR * F.col("lowb") <= F.col("ra")) & (NUMERATOR * F.col("na") <= F.col("roomb")) & (DENOMINATOR * F.col("na") >= NUMERATOR * F.col("lowb")) & (DENOMINATOR * F.col("highb") >= NUMERATOR * F.col("na"))
+    one = across.join(side("a"), ["token", "ca"]).where(some).select("token", "cb", "a", "na", "ra")
+    met = one.join(side("b"), ["token", "cb"]).where(_sizes_fit(F.col("na"), F.col("nb")) & (NUMERATOR * F.col("nb") <= F.col("ra")) & (NUMERATOR * F.col("na") <= F.col("rb")))
     return met.select("a", "b").distinct()
 
 
