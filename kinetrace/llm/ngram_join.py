@@ -406,3 +406,28 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tkey") == F.col("_key"))).drop("_id", "_key", "_stays").dropDuplicates(["doc_id", "_tkey"])
     alone = marked.join(lone, F.col("_tkey") == F.col("_key"), "left_semi")
     return kept.unionByName(alone).select(*inner.columns).toDF(*names)
+
+
+#: For tables of distinct doc_ids; a chain of links is followed to its end.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), shared AS (
+  SELECT doc_id, n, shingle FROM (SELECT *, min(doc_id) OVER w AS x, max(doc_id) OVER w AS y FROM shingles WINDOW w AS (PARTITION BY shingle)) WHERE x != y
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shared a JOIN shared b ON a.shingle = b.shingle AND a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON l.u = r.other
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""

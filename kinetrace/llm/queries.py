@@ -65,5 +65,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
 }

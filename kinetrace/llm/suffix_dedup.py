@@ -437,3 +437,33 @@ def digest(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
     joined = rows.join(found, ["h1", "h2"], "left")
     zero = F.lit(0).cast("long")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
+
+
+#: For tables of distinct doc_ids. Texts are cut into overlapping pieces: a substring is found by counting from the front.
+ORACLE = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), pieces AS (
+  SELECT doc_id, n, base, substr(x, 2 * base + 1, 798) AS piece FROM (SELECT *, unnest(range(0, n - 199, 200)) AS base FROM bytes WHERE n >= 200)
+), starts AS (
+  SELECT doc_id, base, piece, unnest(range(least(200, n - 199 - base))) AS i FROM pieces
+), windows AS (
+  SELECT doc_id, base + i AS i, md5(substr(piece, 2 * i + 1, 400)) AS m FROM starts
+), hits AS (
+  SELECT doc_id, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS opens FROM hits
+), numbered AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, hi - lo AS removed, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since, hi FROM spans
+), cut AS (
+  SELECT b.doc_id, sum(removed) AS removed, count(*) AS spans, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS kept, max(hi) AS last
+  FROM gaps g JOIN bytes b ON b.doc_id = g.doc_id GROUP BY b.doc_id
+)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN b.x ELSE c.kept || substr(b.x, 2 * c.last + 1) END)) AS kept_sha256
+FROM bytes b LEFT JOIN cut c ON c.doc_id = b.doc_id
+"""

@@ -6,11 +6,12 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinetrace.llm import ann, decontamination, html_extract, language, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity
+from kinetrace.llm import ann, decontamination, html_extract, language, mixing, ngram_join, quality, queries, sharding, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -385,3 +386,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert [r["doc_id"] for r in want] == sorted(places, key=places.get)
     assert Counter(r["shard"] for r in seen["sharding"]).most_common(1)[0][1] == 1
     assert Counter(map(tuple, pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(tuple, seen["sharding"]))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_states_the_same_rows(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    result = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    assert Counter(result.fetchall()) == Counter(tuple(r) for r in queries.QUERIES[name](spark, SF).select(columns).collect())
