@@ -174,16 +174,16 @@ def _prefix_rows(documents: DataFrame, counts: np.ndarray, seed: int) -> DataFra
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, k1, n, l, pos): pos is the shingle's place in the class's prefix, from 1."""
+    """(token, k1, n, pos): pos is the shingle's place in the class's prefix, from 1."""
     for batch in batches:
         step = 1000
         for lo in range(0, len(batch), step):
             part = batch.slice(lo, step)
-            tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(3).to_pylist()]
+            tokens = [np.frombuffer(x, dtype=np.int64) for x in part.column(2).to_pylist()]
             times = [len(x) for x in tokens]
-            cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), times)) for i in range(3)]
+            cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), times)) for i in range(2)]
             pos = np.concatenate([np.arange(1, t + 1, dtype=np.int32) for t in times])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *cols, pa.array(pos)], names=["token", "k1", "n", "l", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *cols, pa.array(pos)], names=["token", "k1", "n", "pos"])
 
 
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +235,11 @@ class NearDuplicates:
         keep = self.scratch.keep
         columns = [F.first(c).alias(c) for c in ("n", "l", "p", "prefix")]
         self.classes = classes = keep(_prefix_rows(self.keyed, counts, self.seed).groupBy("k1").agg(F.min("tkey").alias("tkey"), *columns), "classes")
-        postings = classes.select("k1", "n", "l", "prefix").mapInArrow(_postings, "token long, k1 long, n int, l int, pos int")
-        repeated = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        postings = classes.select("k1", "n", "prefix").mapInArrow(_postings, "token long, k1 long, n int, pos int")
+        # written by itself, so that the counts of single shingles are gone before postings are shuffled
+        repeated = keep(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
         live = keep(postings.join(repeated, "token").withColumn("comp", F.col("k1")).withColumn("k", F.col("c")), "live_0")
+        self.scratch.drop("repeated")
         roots, linked = None, 0
         for step in range(HUB_PASSES + ROUNDS):
             if step < HUB_PASSES:
@@ -314,7 +316,7 @@ def _still_mixed(live: DataFrame, roots: DataFrame) -> DataFrame:
     """The postings of the shingles that still hold several components: c classes, about k components."""
     placed = live.drop("c", "k", "comp").join(roots, "k1", "left").withColumn("comp", F.coalesce("root", "k1")).drop("root")
     counted = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.approx_count_distinct("comp", 0.2).alias("k"))
-    return placed.join(counted.where("x != y").drop("x", "y"), "token").select("token", "k1", "n", "l", "pos", "c", "comp", "k")
+    return placed.join(counted.where("x != y").drop("x", "y"), "token").select("token", "k1", "n", "pos", "c", "comp", "k")
 
 
 def _neighbour_pairs(crowded: DataFrame, turn: int) -> DataFrame:
