@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -21,28 +22,33 @@ def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / F.lit(size)).cast("long")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = True) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = True, once: str | None = None) -> DataFrame:
     """Pairs of points of one frame within a radius, as columns a_* and b_* with the distance d.
 
     Points fall into cubes of the radius' size; each left point is copied to its 27 neighbour
-    cubes, so the join has equality keys only, whatever the number of points.
+    cubes, so the join has equality keys only, whatever the number of points. With `once`, for a
+    table joined with itself, 14 cubes do: two points meet one way round, in one cube the one with
+    the smaller `once` first. The sides are larger than their files let Spark expect, so neither is
+    ever broadcast.
     """
     keys = [*KEY, "_cx", "_cy", "_cz"]
-    shift = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    shifts = [s for s in product((-1, 0, 1), repeat=3) if not once or s >= (0, 0, 0)]
+    shift = F.explode(F.array(*[F.struct(*[F.lit(k).alias(x) for x, k in zip("xyz", s, strict=True)]) for s in shifts]))
     a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns if c not in KEY], *KEY, *[_cell(x, radius).alias(f"_c{x}") for x in "xyz"])
-    for x in "xyz":
-        a = a.withColumn("_s", shift).withColumn(f"_c{x}", F.col(f"_c{x}") + F.col("_s")).drop("_s")
+    a = a.withColumn("_s", shift).withColumns({f"_c{x}": F.col(f"_c{x}") + F.col(f"_s.{x}") for x in "xyz"})
+    a = a.withColumn("_own", (F.col("_s.x") == 0) & (F.col("_s.y") == 0) & (F.col("_s.z") == 0)).drop("_s") if once else a.drop("_s")
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns if c not in KEY], *KEY, *[_cell(x, radius).alias(f"_c{x}") for x in "xyz"])
     d = F.sqrt(sum(((F.col(f"a_{x}") - F.col(f"b_{x}")) * (F.col(f"a_{x}") - F.col(f"b_{x}")) for x in "xyz"), F.lit(0.0)))
-    near = a.join(b, keys).withColumn("d", d)
+    near = a.join(b.hint("merge"), keys).withColumn("d", d)
+    near = near.where(~F.col("_own") | (F.col(f"a_{once}") < F.col(f"b_{once}"))).drop("_own") if once else near
     return near.where(F.col("d") <= radius if inclusive else F.col("d") < radius).drop("_cx", "_cy", "_cz")
 
 
 def contacts(coords: DataFrame, cutoff: float) -> DataFrame:
     """Pairs of different atoms (i < j) of a frame within the cutoff."""
     points = coords.select(*KEY, "atom_idx", "x", "y", "z")
-    pairs = radius_join(points, points, cutoff).where("a_atom_idx < b_atom_idx")
-    return pairs.select(*KEY, F.col("a_atom_idx").alias("i"), F.col("b_atom_idx").alias("j"), "d")
+    pairs = radius_join(points, points, cutoff, once="atom_idx").where("a_atom_idx <> b_atom_idx")
+    return pairs.select(*KEY, F.least("a_atom_idx", "b_atom_idx").alias("i"), F.greatest("a_atom_idx", "b_atom_idx").alias("j"), "d")
 
 
 def donors(coords: DataFrame, atoms: DataFrame, frame_id: int = 0, xh_cutoff: float = 1.3) -> DataFrame:

@@ -152,3 +152,17 @@ def test_systems_are_kept_apart(spark):
     boxes = coords.select("system_id", "frame_id").distinct().withColumn("box", F.array(*[F.lit(20.0 if k % 4 == 0 else 0.0) for k in range(9)]))
     out = imaging.prepare(coords, atoms, bonds, boxes, atoms.where("element = 'C'"))
     assert out.count() == len(rows) and out.select("system_id", "frame_id", "atom_idx").distinct().count() == len(rows)
+
+
+def test_contacts_are_joined_without_broadcasts(spark):
+    """Every pair by brute force, on a lattice whose points lie on faces of cubes; no side is held whole in memory."""
+    rng = np.random.default_rng(5)
+    shapes = [rng.integers(-4, 5, size=(60, 3)) * 1.0, rng.normal(scale=4, size=(60, 3))]
+    rows = [(1, f, int(a), *map(float, p)) for f, shape in enumerate(shapes) for a, p in zip(rng.permutation(60), shape, strict=True)]
+    rows += [(1, 0, 60, *rows[0][3:]), (1, 0, 60, *rows[1][3:])]  # an atom that is there twice
+    coords = spark.createDataFrame(rows, "system_id int, frame_id long, atom_idx int, x double, y double, z double")
+    got = sorted(tuple(r) for r in distance.contacts(coords, 2.0).collect())
+    d = lambda p, q: np.sqrt(sum((p[k] - q[k]) * (p[k] - q[k]) for k in (3, 4, 5)))
+    want = sorted((1, p[1], p[2], q[2], d(p, q)) for p in rows for q in rows if p[1] == q[1] and p[2] < q[2] and d(p, q) <= 2.0)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and np.allclose([r[4] for r in got], [r[4] for r in want])
+    assert "Broadcast" not in registry.QUERIES["contact_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
